@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sourcelode.llm import fingerprint
 from sourcelode.llm.bpe_tree import decode_tree, encode_tree
+from sourcelode.llm.embedding_dedup import near_duplicates
 from sourcelode.llm.ngram_join import jaccard_groups
 from sourcelode.llm.packing import encode_pieces, pack
 from sourcelode.llm.sharding import shard_rows
@@ -34,6 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     paired = fingerprint.with_next(documents, "doc_id", "text")
@@ -122,6 +127,7 @@ def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_fingerprint": op2_fingerprint,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_bpe_tree": op5_bpe_tree,
@@ -130,4 +136,21 @@ QUERIES: dict[str, Query] = {
     "op9_wavelet_shards": op9_wavelet_shards,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_embedding_dedup": """
+        WITH RECURSIVE usable AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT l.vec_id AS a, r.vec_id AS b FROM usable l JOIN usable r
+            ON l.vec_id <> r.vec_id AND len(l.v) = len(r.v) AND list_cosine_similarity(l.v, r.v) >= 0.95
+        ), reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings
+            UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+        )
+        SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.least AS component_id, e.vec_id = c.least AS kept
+        FROM embeddings e JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) c ON c.a = e.vec_id
+        LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id
+    """,
+}
