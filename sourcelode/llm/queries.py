@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcelode.llm import fingerprint
@@ -19,6 +19,7 @@ from sourcelode.llm.ngram_join import jaccard_groups
 from sourcelode.llm.packing import encode_pieces, pack
 from sourcelode.llm.sharding import shard_rows
 from sourcelode.llm.store import settled
+from sourcelode.llm.suffix_tree_lm import score
 from sourcelode.llm.text import slices, text_bytes
 from sourcelode.llm.tokens import vocabulary
 from sourcelode.llm.wavelet import read_documents, write_shards
@@ -121,6 +122,14 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def crc_remainder(divisor: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), F.coalesce(crc_remainder(10) == 0, F.lit(False)))
+
+
 def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return read_documents(spark, write_shards(table(spark, sf_dir, "documents"), path, END_OF_TEXT))
@@ -133,6 +142,7 @@ QUERIES: dict[str, Query] = {
     "op5_bpe_tree": op5_bpe_tree,
     "op6_feistel_sharding": op6_feistel_sharding,
     "op7_ngram_join": op7_ngram_join,
+    "op8_suffix_tree_lm": op8_suffix_tree_lm,
     "op9_wavelet_shards": op9_wavelet_shards,
 }
 
