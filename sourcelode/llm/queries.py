@@ -21,6 +21,7 @@ from sourcelode.llm.sharding import shard_rows
 from sourcelode.llm.store import settled
 from sourcelode.llm.suffix_tree_lm import score
 from sourcelode.llm.text import slices, text_bytes
+from sourcelode.llm.toxicity import train, with_toxicity
 from sourcelode.llm.tokens import vocabulary
 from sourcelode.llm.wavelet import read_documents, write_shards
 
@@ -30,6 +31,7 @@ END_OF_DOCUMENT = 2
 END_OF_TEXT = 0
 SHARDS = 16
 SEED = 2
+TOXIC = 0.7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,6 +137,16 @@ def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, write_shards(table(spark, sf_dir, "documents"), path, END_OF_TEXT))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_remainder(3) == 1, F.lit(False))
+    classifier = train(documents, table(spark, sf_dir, "labels"), ~held_out)
+    return with_toxicity(documents, classifier, "score").select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_fingerprint": op2_fingerprint,
@@ -144,6 +156,7 @@ QUERIES: dict[str, Query] = {
     "op7_ngram_join": op7_ngram_join,
     "op8_suffix_tree_lm": op8_suffix_tree_lm,
     "op9_wavelet_shards": op9_wavelet_shards,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcelode.llm.store import settled
-from sourcelode.llm.text import slices, span_hashes, text_bytes, word_spans
+from sourcelode.llm.text import HELD, Tally, slices, span_hashes, text_bytes, word_spans
 
 DEPTH = 2
 LEAST_SHARE = 1e-5
@@ -38,8 +38,6 @@ LEAST_GAIN = 4.0
 #: Discount of a next word's count in a node.
 DISCOUNT = 0.5
 END = -1
-#: Distinct sequences that a task holds before it passes them on.
-HELD = 4_000_000
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,38 +84,6 @@ def places(symbols: np.ndarray, doc: np.ndarray, levels: list[Level]) -> list[np
     return found
 
 
-class Tally:
-    """Counts of 64-bit keys, passed on when many are held."""
-
-    def __init__(self) -> None:
-        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.waiting: list[np.ndarray] = []
-
-    def add(self, keys: np.ndarray) -> None:
-        self.waiting.append(keys)
-        if sum(map(len, self.waiting)) > HELD:
-            self._settle()
-
-    def _settle(self) -> None:
-        keys, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
-        self.waiting = []
-        if len(self.keys):
-            both = np.concatenate([self.keys, keys])
-            order = np.argsort(both, kind="stable")
-            both, numbers = both[order], np.concatenate([self.counts, counts])[order]
-            cut = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
-            keys, counts = both[cut], np.add.reduceat(numbers, cut)
-        self.keys, self.counts = keys, counts
-
-    def take(self, least: int) -> Iterator[pa.RecordBatch]:
-        """All that is held, when it is ``least`` keys or more."""
-        if least <= 1 and self.waiting:
-            self._settle()
-        if len(self.keys) >= least:
-            yield pa.RecordBatch.from_arrays([pa.array(self.keys), pa.array(self.counts)], names=["key", "n"])
-            self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-
 def count_level(texts: DataFrame, known: Broadcast, length: int) -> DataFrame:
     """(key, n): occurrences of the sequences of ``length`` over ``texts`` (text)."""
 

@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+#: Distinct keys that a task holds before it passes them on.
+HELD = 4_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
@@ -121,3 +123,35 @@ def shingles(
             at = np.where(more, kept + step, kept)
             total = np.where(more, mix(total * _ODD + words[at]), total)
     return total, owner[kept]
+
+
+class Tally:
+    """Counts of 64-bit keys, passed on when many are held."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+
+    def add(self, keys: np.ndarray) -> None:
+        self.waiting.append(keys)
+        if sum(map(len, self.waiting)) > HELD:
+            self._settle()
+
+    def _settle(self) -> None:
+        keys, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
+        self.waiting = []
+        if len(self.keys):
+            both = np.concatenate([self.keys, keys])
+            order = np.argsort(both, kind="stable")
+            both, numbers = both[order], np.concatenate([self.counts, counts])[order]
+            cut = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+            keys, counts = both[cut], np.add.reduceat(numbers, cut)
+        self.keys, self.counts = keys, counts
+
+    def take(self, least: int) -> Iterator[pa.RecordBatch]:
+        """All that is held, when it is ``least`` keys or more."""
+        if least <= 1 and self.waiting:
+            self._settle()
+        if len(self.keys) >= least:
+            yield pa.RecordBatch.from_arrays([pa.array(self.keys), pa.array(self.counts)], names=["key", "n"])
+            self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
