@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sourcelode.llm import fingerprint
 from sourcelode.llm.bpe_tree import decode_tree, encode_tree
 from sourcelode.llm.embedding_dedup import near_duplicates
+from sourcelode.llm.line_dedup import dedup_lines
 from sourcelode.llm.ngram_join import jaccard_groups
 from sourcelode.llm.packing import encode_pieces, pack
 from sourcelode.llm.sharding import shard_rows
@@ -80,6 +81,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(settled(pieces, "pieces"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(documents, counts=True)
+
+
 def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -151,6 +157,7 @@ QUERIES: dict[str, Query] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_fingerprint": op2_fingerprint,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_bpe_tree": op5_bpe_tree,
     "op6_feistel_sharding": op6_feistel_sharding,
     "op7_ngram_join": op7_ngram_join,
