@@ -41,7 +41,7 @@ def missing_files(index: DataFrame, files: DataFrame) -> DataFrame:
     return held.join(files.select(*FILE_KEY), FILE_KEY, "left_anti")
 
 
-def point_lookup(index: DataFrame, column: str, value: str, limit: int = 9999) -> DataFrame:
-    """All columns of the rows with one value, in file order, up to the limit."""
-    order = ["project", "file", "kind_rank", "ord"]
-    return index.where(F.col(column) == value).orderBy(*order).limit(limit)
+def point_lookup(index: DataFrame, column: str, value: str, limit: int | None = None) -> DataFrame:
+    """All columns of the rows with one value; with a limit, only the first ones in file order."""
+    found = index.where(F.col(column) == value)
+    return found if limit is None else found.orderBy("project", "file", "kind_rank", "ord").limit(limit)

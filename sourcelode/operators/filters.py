@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcelode.catalogs import RULE_KINDS, UNKNOWN_LANGUAGE, IgnoreRules
 from sourcelode.functions.text import extension
+from sourcelode.session import broadcast_if_small
 
 
 def _any_of(words: Sequence[str]) -> str:
@@ -97,6 +98,14 @@ def reject_reason(rel_path: Column, rules: IgnoreRules, known: Sequence[str]) ->
     )
 
 
+def _met_by(components: Column, test: Callable[[Column, Column], Column]) -> Callable[[Column], Column]:
+    return lambda pattern: F.exists(components, lambda c: test(c, pattern))
+
+
+def _tagged(kind: str) -> Callable[[Column], Column]:
+    return lambda pattern: F.struct(F.lit(kind).alias("kind"), pattern.alias("pattern"))
+
+
 def rule_hits(files: DataFrame, rules: IgnoreRules, path: str = "rel_path") -> DataFrame:
     """``(kind, pattern, n_files)`` for every catalog row that any file meets on its way down."""
     components = F.split(F.col(path), "/")
@@ -109,25 +118,22 @@ def rule_hits(files: DataFrame, rules: IgnoreRules, path: str = "rel_path") -> D
         if kind in ("directories", "files"):
             hits = F.array_intersect(listed, components)
         else:
-            test = F.startswith if kind.endswith("prefix") else F.endswith
-            hits = F.filter(
-                listed, lambda p, test=test: F.exists(components, lambda c, p=p: test(c, p))
-            )
-        met.append(F.transform(hits, lambda p, kind=kind: F.struct(F.lit(kind).alias("kind"), p.alias("pattern"))))
+            hits = F.filter(listed, _met_by(components, F.startswith if kind.endswith("prefix") else F.endswith))
+        met.append(F.transform(hits, _tagged(kind)))
     exploded = files.select(F.explode(F.concat(*met)).alias("rule"))
     return exploded.groupBy("rule.kind", "rule.pattern").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 def known_extensions_only(files: DataFrame, extensions: DataFrame, name: str = "name") -> DataFrame:
-    """Keep files whose extension the catalog holds. The catalog is configuration of fixed size."""
+    """Keep files whose extension the catalog holds."""
     keyed = files.withColumn("ext", extension(F.col(name)))
-    return keyed.join(F.broadcast(extensions.select("ext")), "ext", "left_semi").select(*files.columns)
+    return keyed.join(broadcast_if_small(extensions.select("ext")), "ext", "left_semi").select(*files.columns)
 
 
 def tag_language(files: DataFrame, extensions: DataFrame, name: str = "name") -> DataFrame:
     """Add ``lang``; files without a catalogued extension are ``unknown``."""
     keyed = files.withColumn("ext", extension(F.col(name)))
-    tagged = keyed.join(F.broadcast(extensions.select("ext", "language")), "ext", "left")
+    tagged = keyed.join(broadcast_if_small(extensions.select("ext", "language")), "ext", "left")
     return tagged.select(
         *[c for c in files.columns if c != "lang"],
         F.coalesce("language", F.lit(UNKNOWN_LANGUAGE)).alias("lang"),

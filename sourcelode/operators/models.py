@@ -29,8 +29,8 @@ def _answer(fn: BatchFunction, asked: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame(
                 {"key": asked["key"], "output": [None], "tokens": [0], "error": [f"{type(problem).__name__}: {problem}"]}
             )
-        rows = [_answer(fn, asked.iloc[i : i + 1]) for i in range(len(asked))]
-        return pd.concat(rows, ignore_index=True)
+        half = len(asked) // 2
+        return pd.concat([_answer(fn, asked.iloc[:half]), _answer(fn, asked.iloc[half:])], ignore_index=True)
 
 
 def run_model(

@@ -127,6 +127,8 @@ def summarise(rows: DataFrame, models: Models) -> DataFrame:
 
     A digest of several parts is summed up part by part and the results once more, until one is left.
     """
+    if models.part_lines < 2:
+        raise ValueError("a part must hold two lines at least, or summing up parts never ends")
     rows = rows.select("project", "file", "kind_rank", "ord", "purpose")
     finished = []
     while True:
@@ -265,12 +267,17 @@ def retrieve(
     k: int = 10,
     scope: str | None = None,
 ) -> DataFrame:
-    """``(query_id, query, rank, *key, dist, content)`` for ``queries(query_id, query)``."""
+    """``(query_id, query, embed_tokens, error, rank, *key, dist, content)`` for ``queries(query_id, query)``.
+
+    A query without hits, or whose embedding failed, has one row with null from ``rank`` on.
+    """
     asked = queries.select("query_id", "query", *([scope] if scope else []))
-    called = checkpoint(run_model(asked, models.embed, "query", "embedding", EMBEDDING_TYPE, keep_prompt=True))
+    called = run_model(asked, models.embed, "query", "embedding", EMBEDDING_TYPE, keep_prompt=True, partitions=models.partitions)
+    called = checkpoint(called)
     hits = knn(corpus, called.where("error is null"), key, "query_id", models.dim, k, scope=scope)
     found = fetch(hits, corpus, key, [content])
-    return found.join(called.select("query_id", "query"), "query_id")
+    every = called.select("query_id", "query", F.col("tokens").alias("embed_tokens"), "error")
+    return every.join(found, "query_id", "left")
 
 
 def ask(
@@ -282,19 +289,25 @@ def ask(
     k: int = 10,
     scope: str | None = None,
 ) -> DataFrame:
-    """``(query_id, n_hits, output, tokens, error)``: retrieve, build one prompt per query, answer."""
-    found = retrieve(corpus, queries, models, key or ROW_KEY, content, k, scope)
-    asked = gather_contents(found, content).select(
+    """``(query_id, n_hits, output, tokens, error)``: retrieve, build one prompt per query, answer.
+
+    A query whose embedding failed is not answered and keeps that error; one without hits is asked
+    with no contents.
+    """
+    found = checkpoint(retrieve(corpus, queries, models, key or ROW_KEY, content, k, scope))
+    asked = gather_contents(found.where("error is null"), content).select(
         "query_id", "n_hits", prompts.ask_prompt(F.col("query"), F.col("contents"), models.language).alias("prompt")
     )
-    return run_model(asked, models.answer, partitions=models.partitions)
+    answered = run_model(asked, models.answer, partitions=models.partitions)
+    failed = found.where("error is not null").select("query_id", F.lit(0).cast("long").alias("n_hits"), "error")
+    return answered.unionByName(failed, allowMissingColumns=True)
 
 
 def gather_contents(found: DataFrame, content: str = "content") -> DataFrame:
     """One row per query with its contents in rank order; k rows per group at most."""
-    ordered = F.array_sort(F.collect_list(F.struct("rank", F.col(content).alias("_text"))))
+    hit = F.when(F.col("rank").isNotNull(), F.struct("rank", F.col(content).alias("_text")))
     return found.groupBy("query_id").agg(
         F.first("query").alias("query"),
-        F.count(F.lit(1)).alias("n_hits"),
-        F.transform(ordered, lambda hit: hit["_text"]).alias("contents"),
+        F.count("rank").alias("n_hits"),
+        F.transform(F.array_sort(F.collect_list(hit)), lambda row: row["_text"]).alias("contents"),
     )

@@ -71,12 +71,13 @@ FILES = """files AS (
     FROM documents))"""
 
 ROWS = """numbered AS (SELECT files.*, t.o FROM files, LATERAL (SELECT unnest(range(0, doc_id % 3 + 1)) AS o) t),
-old AS (
+stored AS (
   SELECT doc_id, project, file, CASE WHEN doc_id % 7 = 0 THEN md5(text || ' old') ELSE md5 END AS md5,
     CASE WHEN o = 0 THEN 'file' ELSE 'class' END AS code_type, lang,
     CASE WHEN o = 0 THEN name ELSE 'K' || o END AS name, 'about ' || doc_id || '.' || o AS purpose,
     CAST(CASE WHEN o = 0 THEN 0 ELSE 1 END AS BIGINT) AS kind_rank, CAST(o AS BIGINT) AS ord
-  FROM numbered WHERE doc_id % 10 <> 0),
+  FROM numbered),
+old AS (SELECT * FROM stored WHERE doc_id % 10 <> 0),
 new AS (
   SELECT doc_id, project, file, md5, 'file' AS code_type, lang, name, 'about ' || doc_id || '.0' AS purpose,
     CAST(0 AS BIGINT) AS kind_rank, CAST(0 AS BIGINT) AS ord
@@ -87,26 +88,26 @@ ROW = "project, file, md5, code_type, lang, name, purpose"
 TURNS = """turns AS (SELECT *, CAST(turn // 8 AS BIGINT) AS part FROM conversations),
 heads AS (SELECT conv_id, part FROM turns GROUP BY ALL),
 entities AS (
-  SELECT conv_id, part, turn, CASE role WHEN 'user' THEN 'class' ELSE 'function' END AS code_type,
-    CASE role WHEN 'user' THEN 'c' ELSE 'f' END || turn AS name,
+  SELECT conv_id, part, turn, CASE role WHEN 'assistant' THEN 'function' ELSE 'class' END AS code_type,
+    CASE role WHEN 'assistant' THEN 'f' ELSE 'c' END || turn AS name,
     replace(text, '```', '') AS source_code, 'turn ' || turn AS purpose
-  FROM turns WHERE role IN ('user', 'assistant'))"""
+  FROM turns)"""
 
 
 def reply_json(entry_keys: str, head: str) -> str:
     """JSON text of one reply per head, as a column expression over aggregated turns."""
     return f"""json_texts AS (
   SELECT h.conv_id, h.part,
-    '{{' || {head} || '"classes":[' ||
+    '{{' || {head} '"classes":[' ||
     coalesce((SELECT string_agg({entry_keys}, ',' ORDER BY turn) FROM turns t
-      WHERE t.conv_id = h.conv_id AND t.part = h.part AND role = 'user'), '') || '],"functions":[' ||
+      WHERE t.conv_id = h.conv_id AND t.part = h.part AND role <> 'assistant'), '') || '],"functions":[' ||
     coalesce((SELECT string_agg({entry_keys}, ',' ORDER BY turn) FROM turns t
       WHERE t.conv_id = h.conv_id AND t.part = h.part AND role = 'assistant'), '') || ']}}' AS body
   FROM heads h)"""
 
 
 ENTRY = (
-    "'{\"name\":\"' || CASE role WHEN 'user' THEN 'c' ELSE 'f' END || turn || '\",\"source_code\":' || "
+    "'{\"name\":\"' || CASE role WHEN 'assistant' THEN 'f' ELSE 'c' END || turn || '\",\"source_code\":' || "
     "CAST(to_json(text) AS VARCHAR) || ',\"purpose\":\"turn ' || turn || '\"}'"
 )
 BODY = reply_json(ENTRY, "'\"purpose\":\"p' || h.conv_id || '\",' || ")
@@ -164,7 +165,7 @@ UNION ALL SELECT {ROW}, kind_rank, ord FROM new WHERE doc_id % 10 = 0"""
 
 ORACLE["scan_all"] = with_ctes(FILES, ROWS) + f"""
 SELECT {ROW}, purpose AS content, {vector_text(hex_vector('purpose'))} AS embedding, kind_rank, ord,
-  CAST(1 AS BIGINT) AS n_chunks, true AS decode_ok FROM old"""
+  CAST(1 AS BIGINT) AS n_chunks, true AS decode_ok FROM stored"""
 
 ORACLE["ignore_catalog"] = with_ctes(FILES, RULES, COMPONENTS, HITS) + """
 SELECT kind, pattern, count(doc_id) AS n_files FROM rules LEFT JOIN hits USING (kind, pattern) GROUP BY ALL"""
@@ -206,10 +207,10 @@ ORACLE["ext_whitelist"] = with_ctes(FILES) + "SELECT project, file FROM files WH
 ORACLE["file_extension"] = with_ctes(FILES) + "SELECT file, ext FROM files"
 ORACLE["tag_language"] = with_ctes(FILES) + "SELECT file, lang FROM files"
 ORACLE["point_lookup"] = with_ctes(FILES, ROWS) + f"""
-SELECT {ROW}, kind_rank, ord FROM old WHERE code_type = 'class' ORDER BY project, file, kind_rank, ord LIMIT 9999"""
-ORACLE["delete_file"] = with_ctes(FILES, ROWS) + f"SELECT {ROW}, ord FROM old WHERE doc_id % 13 <> 0"
+SELECT {ROW}, kind_rank, ord FROM stored WHERE code_type = 'class'"""
+ORACLE["delete_file"] = with_ctes(FILES, ROWS) + f"SELECT {ROW}, ord FROM stored WHERE doc_id % 13 <> 0"
 ORACLE["clean_all"] = with_ctes(FILES, ROWS) + """
-SELECT 'before' AS state, count(*) + count(DISTINCT project) AS n_rows FROM old UNION ALL SELECT 'after', 0"""
+SELECT 'before' AS state, count(*) + count(DISTINCT project) AS n_rows FROM stored UNION ALL SELECT 'after', 0"""
 ORACLE["compose_content"] = with_ctes(FILES) + r"""
 SELECT file, '//file ' || file || ' ' || chr(10) || '//file name: ' || name || chr(10) || chr(10) || '// about ' || doc_id || chr(10) || text AS content
 FROM files"""
@@ -415,11 +416,11 @@ summaries AS (SELECT project, max(summary) FILTER (n_parts = 1) AS summary, CAST
     )
 
 
-ORACLE["project_digest"] = with_ctes(FILES, ROWS, digest_level(1, "old", DIGEST_LINES)) + """
+ORACLE["project_digest"] = with_ctes(FILES, ROWS, digest_level(1, "stored", DIGEST_LINES)) + """
 SELECT project, part_no, n_parts, n_lines, digest FROM digests1"""
-ORACLE["summary_prompt"] = with_ctes(FILES, ROWS, digest_level(1, "old", DIGEST_LINES)) + f"""
+ORACLE["summary_prompt"] = with_ctes(FILES, ROWS, digest_level(1, "stored", DIGEST_LINES)) + f"""
 SELECT project, part_no, {summary_text('digest')} AS prompt FROM digests1"""
-ORACLE["summarise_batch"] = with_ctes(FILES, ROWS, summaries("old", DIGEST_LINES)) + "SELECT project, summary, tokens FROM summaries"
+ORACLE["summarise_batch"] = with_ctes(FILES, ROWS, summaries("stored", DIGEST_LINES)) + "SELECT project, summary, tokens FROM summaries"
 
 SUMMARY_CONTENT = (
     "'//file whole project ' || chr(10) || '//file name: whole project summary' || chr(10) || chr(10) || "
@@ -430,9 +431,9 @@ SELECT project, 'whole project' AS file, '' AS md5, 'file' AS code_type, '' AS l
   summary AS purpose, md5({SUMMARY_CONTENT}) AS content_md5, {vector_text(hex_vector(SUMMARY_CONTENT))} AS embedding,
   CAST(0 AS BIGINT) AS kind_rank, CAST(0 AS BIGINT) AS ord, CAST(1 AS BIGINT) AS n_chunks
 FROM summaries"""
-ORACLE["summary_upsert"] = with_ctes(FILES, ROWS, summaries("old", DIGEST_LINES)) + f"""
+ORACLE["summary_upsert"] = with_ctes(FILES, ROWS, summaries("stored", DIGEST_LINES)) + f"""
 SELECT {ROW}, md5(purpose) AS content_md5, {vector_text(hex_vector('purpose'))} AS embedding, kind_rank, ord,
-  CAST(1 AS BIGINT) AS n_chunks FROM old UNION ALL {SUMMARY_ROWS}"""
+  CAST(1 AS BIGINT) AS n_chunks FROM stored UNION ALL {SUMMARY_ROWS}"""
 
 # ---- analysis and jobs ----------------------------------------------------------------------
 
@@ -441,10 +442,10 @@ def analysed(source: str) -> str:
     """CTEs from files to ``built``: what the local model says of each, composed, packed and pooled."""
     names = "('class', 1, 1), ('function', 2, 2)"
     return f"""digested AS (SELECT f.*, md5({ANALYSE_PROMPT}) AS h, length({ANALYSE_PROMPT}) AS asked FROM {source} f),
-kinds AS (SELECT * FROM (VALUES {names}) AS t(kind, rank, at)),
+kinds AS (SELECT * FROM (VALUES {names}) AS t(kind, rank, place)),
 listed AS (
   SELECT d.*, kind, rank, i FROM digested d, kinds,
-    LATERAL (SELECT unnest(range(0, (strpos('0123456789abcdef', substr(h, at, 1)) - 1) % 3)) AS i)),
+    LATERAL (SELECT unnest(range(0, (strpos('0123456789abcdef', substr(h, place, 1)) - 1) % 3)) AS i)),
 rows_built AS (
   SELECT project, file, md5, 'file' AS code_type, lang, name, 'purpose ' || substr(h, 1, 8) AS purpose, text AS source_code,
     CAST(0 AS BIGINT) AS kind_rank, CAST(0 AS BIGINT) AS ord, CAST(asked AS BIGINT) AS analysis_tokens FROM digested

@@ -27,6 +27,7 @@ from sourcelode.plans.relations import (
     damaged_replies,
     new_rows,
     old_rows,
+    stored_rows,
     replies,
     shared_folder,
     source_files,
@@ -111,22 +112,22 @@ def open_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [*steps, state("opened")])
 
 
-def _stored_old(spark: SparkSession, sf_dir: str) -> IndexTable:
+def _stored(spark: SparkSession, rows: DataFrame) -> IndexTable:
     index = IndexTable.open(spark, fresh_path(spark, "index"), LOCAL.dim)
-    index.append(with_vectors(old_rows(spark, sf_dir)))
+    index.append(with_vectors(rows))
     return index
 
 
 @query
 def append_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _stored_old(spark, sf_dir)
+    index = _stored(spark, old_rows(spark, sf_dir))
     index.append(with_vectors(new_rows(spark, sf_dir).where("doc_id % 10 = 0")))
     return longs(index.rows().select(*FILE_ROW, "kind_rank", "ord"), "kind_rank", "ord")
 
 
 @query
 def scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _stored_old(spark, sf_dir).rows()
+    rows = _stored(spark, stored_rows(spark, sf_dir)).rows()
     return longs(rows.withColumn("embedding", vector_text(F.col("embedding"))), "kind_rank", "ord", "n_chunks")
 
 
@@ -200,19 +201,19 @@ def tag_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = changes.point_lookup(old_rows(spark, sf_dir), "code_type", "class")
+    found = changes.point_lookup(stored_rows(spark, sf_dir), "code_type", "class")
     return longs(found.select(*FILE_ROW, "kind_rank", "ord"), "kind_rank", "ord")
 
 
 @query
 def delete_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = source_files(spark, sf_dir).where("doc_id % 13 = 0")
-    return longs(changes.delete_files(old_rows(spark, sf_dir), keys).select(*FILE_ROW, "ord"), "ord")
+    return longs(changes.delete_files(stored_rows(spark, sf_dir), keys).select(*FILE_ROW, "ord"), "ord")
 
 
 @query
 def clean_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = old_rows(spark, sf_dir)
+    rows = stored_rows(spark, sf_dir)
     summaries = rows.select("project").distinct().withColumn("file", F.lit(SUMMARY_FILE)).withColumn("md5", F.lit(""))
     index = rows.select("project", "file", "md5").unionByName(summaries)
 
@@ -416,12 +417,12 @@ def html_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def project_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest.project_digest(old_rows(spark, sf_dir), DIGEST_LINES)
+    return digest.project_digest(stored_rows(spark, sf_dir), DIGEST_LINES)
 
 
 @query
 def summary_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_vectors(old_rows(spark, sf_dir)).drop("doc_id")
+    rows = with_vectors(stored_rows(spark, sf_dir)).drop("doc_id")
     stale = rows.select("project").distinct()
     for column in rows.columns[1:]:
         value = F.lit(SUMMARY_FILE if column == "file" else None).cast(rows.schema[column].dataType)
@@ -472,7 +473,7 @@ def ask_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def summary_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = digest.project_digest(old_rows(spark, sf_dir), DIGEST_LINES)
+    parts = digest.project_digest(stored_rows(spark, sf_dir), DIGEST_LINES)
     return parts.select("project", "part_no", prompts.summary_prompt(F.col("digest"), LANGUAGE).alias("prompt"))
 
 
@@ -504,7 +505,7 @@ def analyse_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def summarise_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = jobs.summarise(old_rows(spark, sf_dir), replace(LOCAL, part_lines=DIGEST_LINES))
+    said = jobs.summarise(stored_rows(spark, sf_dir), replace(LOCAL, part_lines=DIGEST_LINES))
     return said.select("project", "summary", "tokens")
 
 

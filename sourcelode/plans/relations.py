@@ -55,7 +55,12 @@ def tagged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def old_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An earlier state of the index: some files missing, some with another fingerprint."""
-    files = tagged_files(spark, sf_dir).where("doc_id % 10 <> 0")
+    return stored_rows(spark, sf_dir).where("doc_id % 10 <> 0")
+
+
+def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index rows of every document, some with another fingerprint."""
+    files = tagged_files(spark, sf_dir)
     old = F.when(F.col("doc_id") % 7 == 0, F.md5(F.concat("text", F.lit(" old")))).otherwise(F.col("md5"))
     numbered = files.withColumn("ord", F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int"))))
     return _index_rows(numbered.withColumn("md5", old))
@@ -100,21 +105,23 @@ def with_vectors(rows: DataFrame) -> DataFrame:
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fenced JSON replies of at most eight turns: user turns as classes, assistant turns as functions."""
+    """Fenced JSON replies of at most eight turns: assistant turns as functions, all others as classes."""
     turns = table(spark, sf_dir, "conversations").withColumn("part", F.floor(F.col("turn") / REPLY_TURNS))
 
-    def entries(role: str, letter: str) -> Column:
+    assistant = F.col("role") == "assistant"
+
+    def entries(wanted: Column, letter: str) -> Column:
         row = F.struct(
             "turn",
             F.concat(F.lit(letter), F.col("turn").cast("string")).alias("name"),
             F.col("text").alias("source_code"),
             F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("purpose"),
         )
-        ordered = F.array_sort(F.collect_list(F.when(F.col("role") == role, row)))
+        ordered = F.array_sort(F.collect_list(F.when(wanted, row)))
         return F.transform(ordered, lambda r: F.struct(r["name"], r["source_code"], r["purpose"]))
 
     grouped = turns.groupBy("conv_id", "part").agg(
-        entries("user", "c").alias("classes"), entries("assistant", "f").alias("functions")
+        entries(~assistant, "c").alias("classes"), entries(assistant, "f").alias("functions")
     )
     purpose = F.concat(F.lit("p"), F.col("conv_id").cast("string"))
     body = F.to_json(F.struct(purpose.alias("purpose"), "classes", "functions"))

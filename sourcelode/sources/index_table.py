@@ -34,6 +34,13 @@ class IndexTable:
                 raise
             held = None
         if held is None:
+            try:
+                spark.read.schema("project string").parquet(f"{path}/rows")
+            except AnalysisException as problem:
+                if problem.getCondition() != "PATH_NOT_FOUND":
+                    raise
+            else:
+                raise ValueError(f"{path} holds rows but no settings; restore them, or create the index anew")
             return cls.create(spark, path, dim, buckets)
         if held["dim"] != dim:
             raise ValueError(f"the index holds vectors of {held['dim']} values, not {dim}")

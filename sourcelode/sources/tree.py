@@ -41,6 +41,17 @@ def _writable(path: str) -> bool:
         return False
 
 
+def _entry(entry: os.DirEntry, rel: str) -> tuple:
+    """(rel_path, name, file, is_dir, problem) of one entry; its problem concerns no other entry."""
+    below = f"{rel}/{entry.name}" if rel else entry.name
+    if not _writable(entry.path):
+        return "", os.fsencode(entry.path).decode("utf-8", "replace"), "", False, "name is not UTF-8"
+    try:
+        return below, entry.path, os.path.realpath(entry.path), entry.is_dir(), None
+    except OSError as problem:
+        return below, entry.path, entry.path, False, f"{type(problem).__name__}: {problem.strerror}"
+
+
 def _list_folders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The entries of each folder, in bounded batches so that one huge folder still streams."""
     columns = [part.split()[0] for part in ENTRIES.split(", ")]
@@ -50,13 +61,7 @@ def _list_folders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 with os.scandir(folder) as entries:
                     for entry in entries:
-                        below = f"{rel}/{entry.name}" if rel else entry.name
-                        if not _writable(entry.path):
-                            shown = os.fsencode(entry.path).decode("utf-8", "replace")
-                            rows.append((project, root, "", shown, "", False, "name is not UTF-8"))
-                        else:
-                            real = os.path.realpath(entry.path)
-                            rows.append((project, root, below, entry.path, real, entry.is_dir(), None))
+                        rows.append((project, root, *_entry(entry, rel)))
                         if len(rows) >= LIST_ROWS:
                             yield pd.DataFrame(rows, columns=columns)
                             rows = []
