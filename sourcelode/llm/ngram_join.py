@@ -7,8 +7,8 @@ the same everywhere, which is all that correctness asks, and a larger table only
 n-grams apart better. Two sets of Jaccard similarity t or more share an n-gram among their first
 n - ceil(t n) + 1, so pairs are found by a join on these prefixes.
 
-Candidates pass a length filter, a positional filter (what can still follow the shared places) and a
-suffix filter (per range of hashes, the smaller of two counts), and are then verified once by
+Candidates pass a length filter, a positional filter (what can still follow the shared places) and
+suffix filters (members that must differ, and that can be shared, by ranges of hashes), and are then verified once by
 intersecting the whole sets. Only components are asked for, so candidates come in two steps. First
 each prefix n-gram ties its documents to a neighbour and to one of similar size, which is linear in
 the group. Then, only between documents that are still in different components, all remaining pairs
@@ -41,6 +41,7 @@ PERCENT = 80
 ORDER_BITS = 20
 FILTER_BITS = 23
 RANGES = 64
+MARKS = 4
 #: Documents of an n-gram that are ordered by size together; larger groups are salted.
 SALT_ROWS = 1000
 _BLOCKS = 16
@@ -119,8 +120,9 @@ def _prefixes(documents: DataFrame, size: int, percent: int, order: Broadcast) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = text_sets(batch.column("text"), size)
-            heads = []
+            heads, marks = [], []
             for s in sets:
+                marks.append(parities(s))
                 ranked = s[np.lexsort((s, order.value[_bucket(s)]))]
                 heads.append(ranked[: prefix_length(len(s), percent)].view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -128,11 +130,13 @@ def _prefixes(documents: DataFrame, size: int, percent: int, order: Broadcast) -
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(heads, pa.list_(pa.int64())),
+                    pa.array(marks, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "prefix"],
+                names=["doc_id", "n", "prefix", "marks"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, prefix array<bigint>")
+    schema = "doc_id bigint, n bigint, prefix array<bigint>, marks array<bigint>"
+    return documents.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _filter_of(ids: DataFrame) -> Broadcast:
@@ -168,6 +172,16 @@ def _sets_of(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return documents.select("doc_id", "text", spot.alias("spot")).mapInArrow(run, "doc_id bigint, members binary")
 
 
+def parities(members: np.ndarray) -> np.ndarray:
+    """For 256 ranges of hashes, whether the set has an odd number of members there, as four integers.
+
+    Where two sets differ in such a bit they differ in a member, so the number of different bits is at
+    most the size of their symmetric difference.
+    """
+    counts = np.bincount((members >> np.uint64(56)).astype(np.int64), minlength=64 * MARKS)
+    return np.packbits(counts & 1 == 1, bitorder="little").view("<i8")
+
+
 def range_counts(members: np.ndarray) -> np.ndarray:
     return np.bincount((members >> np.uint64(58)).astype(np.int64), minlength=RANGES)
 
@@ -239,18 +253,25 @@ def _near_pairs(postings: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _far_pairs(postings: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """All matches between documents of different components so far."""
+def _far_pairs(postings: DataFrame, marks: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """All matches between documents of different components so far, after the filters.
+
+    Here the suffix filter is the join's own condition: sets of n and m members that share enough
+    differ in (100 - percent) / (100 + percent) of n + m members at most.
+    """
     label = F.coalesce("component", "doc_id")
     marked = postings.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "gram", "doc_id", "n", "i", label.alias("group")
     )
     mixed = marked.groupBy("gram").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x != y")
-    open_ = settled(marked.join(mixed.select("gram"), "gram", "left_semi"), "open")
+    open_ = marked.join(mixed.select("gram"), "gram", "left_semi").join(marks, "doc_id")
+    open_ = settled(open_, "open")
+    differ = " + ".join(f"bit_count(l.marks[{k}] ^ r.marks[{k}])" for k in range(MARKS))
     l, r = open_.alias("l"), open_.alias("r")
     near = F.expr(f"l.gram = r.gram and l.doc_id < r.doc_id and l.group != r.group"
                   f" and 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)"
-                  f" and {100 + percent} * (least(l.i, r.i) + least(l.n - l.i, r.n - r.i)) >= {percent} * (l.n + r.n)")
+                  f" and {100 + percent} * (least(l.i, r.i) + least(l.n - l.i, r.n - r.i)) >= {percent} * (l.n + r.n)"
+                  f" and {100 + percent} * ({differ}) <= {100 - percent} * (l.n + r.n)")
     return l.join(r, near).select(
         F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"),
         F.col("l.n").alias("n"), F.col("r.n").alias("m"), F.col("l.i").alias("i"), F.col("r.i").alias("j"),
@@ -272,7 +293,7 @@ def jaccard_groups(documents: DataFrame, size: int = SIZE, percent: int = PERCEN
     near = settled(_candidates(_near_pairs(postings, percent), percent), "pairs")
     links = _verified(near, documents, size, percent)
     found = components(links)
-    far = _candidates(_far_pairs(postings, found, percent), percent)
+    far = _candidates(_far_pairs(postings, prefixes.select("doc_id", "marks"), found, percent), percent)
     far = settled(far.join(near, ["a", "b"], "left_anti"), "pairs")
     more = _verified(far, documents, size, percent)
     same = members.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
