@@ -134,7 +134,7 @@ def grow(levels: list[Level], root: np.ndarray) -> SuffixTree:
         mixed = own + free[context] * below[shorter]
         gain = np.bincount(context, weights=level.counts * np.log2(mixed / below[shorter]), minlength=size)
         others = total - np.bincount(context, weights=level.counts, minlength=size)
-        gain += others * np.log2(np.maximum(free, 1e-300))
+        gain = gain + others * np.log2(np.maximum(free, 1e-300))
         node = (kinds > 0) & (gain > LEAST_GAIN * (kinds + 1))
         nodes += int(node.sum())
         rest.append(np.where(node, free, 1.0))
