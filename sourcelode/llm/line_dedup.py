@@ -76,32 +76,37 @@ def probe_keys(edits: int) -> list[Column]:
 def within_edits(edits: int) -> str:
     """SQL: whether the edit distance of columns ``longer`` and ``shorter`` is ``edits`` at most.
 
-    ``l`` and ``r`` are their characters. Column i of the band holds rows i - edits - 1 to i + edits;
-    bit k of x says whether the character of row k equals that of the column. The distance is followed
-    along the lowest row of the band down to the last row, and then along the last row.
+    Column i of the band holds rows i - edits - 1 to i + edits; bit k of x says whether the character
+    of row k equals that of the column. The distance is followed along the lowest row of the band down
+    to the last row, and then along the last row.
+
+    The characters are bound as the fields of ``p``: an expression over columns would be computed anew
+    for every character.
     """
     width = 2 * edits + 2
     mask = (1 << width) - 1
     begin = mask & ~((1 << (width - edits - 1)) - 1)
-    bits = " | ".join(f"if(get(l, i - {edits + 1} + {k}) = get(r, i), {1 << k}, 0)" for k in range(width))
-    last = f"char_length(longer) - {edits}"
+    bits = " | ".join(f"if(get(p.l, i - {edits + 1} + {k}) = get(p.r, i), {1 << k}, 0)" for k in range(width))
     hp = f"((s.vn | ~(d0 | s.vp)) & {mask})"
+    row = f"shiftright({1 << (width - 2)}, c.i - p.last)"
     walk = f"""
         aggregate(
-            transform(sequence(0, char_length(shorter) - 1), i -> named_struct('i', i, 'x', {bits})),
+            transform(sequence(0, size(p.r) - 1), i -> named_struct('i', i, 'x', {bits})),
             named_struct('vp', {begin}, 'vn', 0, 'd', {edits}),
             (s, c) -> element_at(transform(
                 array(((((c.x & s.vp) + s.vp) ^ s.vp) | c.x | s.vn) & {mask}),
                 d0 -> named_struct(
                     'vp', ((d0 & s.vp) | ~(shiftright(d0, 1) | {hp})) & {mask},
                     'vn', shiftright(d0, 1) & {hp},
-                    'd', s.d + if(c.i < {last}, if((d0 & {1 << (width - 1)}) = 0, 1, 0),
-                                  if(({hp} & shiftleft({1 << (width - 2)}, 0 - (c.i - ({last})))) != 0, 1, 0)
-                                  - if((d0 & s.vp & shiftleft({1 << (width - 2)}, 0 - (c.i - ({last})))) != 0, 1, 0))
+                    'd', s.d + if(c.i < p.last, if((d0 & {1 << (width - 1)}) = 0, 1, 0),
+                                  if(({hp} & {row}) != 0, 1, 0) - if((d0 & s.vp & {row}) != 0, 1, 0))
                 )), 1)
         ).d"""
-    walk = walk.replace(f"shiftleft({1 << (width - 2)}, 0 - (c.i - ({last})))", f"shiftright({1 << (width - 2)}, c.i - ({last}))")
-    return f"char_length(longer) - char_length(shorter) <= {edits} and {walk} <= {edits}"
+    bound = f"array(named_struct('l', split(longer, ''), 'r', split(shorter, ''), 'last', char_length(longer) - {edits}))"
+    return (
+        f"char_length(longer) - char_length(shorter) <= {edits}"
+        f" and element_at(transform({bound}, p -> {walk}), 1) <= {edits}"
+    )
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -141,7 +146,7 @@ def _verify(pairs: DataFrame, contents: DataFrame, edits: int) -> DataFrame:
     both = both.select(
         "a", "b", F.when(first, F.col("p")).otherwise(F.col("q")).alias("longer"),
         F.when(first, F.col("q")).otherwise(F.col("p")).alias("shorter"),
-    ).select("*", F.split("longer", "").alias("l"), F.split("shorter", "").alias("r"))
+    )
     return settled(both.where(F.expr(within_edits(edits))).select("a", "b"), "links")
 
 

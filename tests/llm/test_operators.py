@@ -9,7 +9,7 @@ from sourcelode.llm import fingerprint, sharding
 from sourcelode.llm.bpe_tree import decode_tree, encode_tree
 from sourcelode.llm.components import components
 from sourcelode.llm.embedding_dedup import near_duplicates
-from sourcelode.llm.line_dedup import dedup_lines
+from sourcelode.llm.line_dedup import dedup_lines, within_edits
 from sourcelode.llm.ngram_join import alike, jaccard_groups, parities
 from sourcelode.llm.packing import best_fit_decreasing, cut_points, encode_pieces, lower_bound, pack
 from sourcelode.llm.store import settled
@@ -171,3 +171,30 @@ def test_toxicity_learns_and_passes_columns_on(spark, awkward, empty):
     assert all((r["_toxicity"] >= 0.7) == (r["doc_id"] % 5 == 0) for r in scored.collect())
     assert with_toxicity(awkward, train(awkward, labels.limit(0), F.lit(True))).where("toxicity >= 0.7").count() == 0
     assert with_toxicity(empty, fitted).count() == 0
+
+
+def test_banded_distance_equals_the_whole_table(spark):
+    def distance(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(5)
+    pairs = []
+    for _ in range(600):
+        a = [rng.choice("aé😀b") for _ in range(rng.randint(3, 40))]
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "é", "zz"])
+        a, b = "".join(a), "".join(b)
+        if b:
+            pairs.append((max(a, b, key=len), min(a, b, key=len)))
+    frame = spark.createDataFrame(pairs, "longer string, shorter string")
+    for edits in (1, 2):
+        said = frame.selectExpr("longer", "shorter", f"{within_edits(edits)} as near").collect()
+        assert all(r["near"] == (distance(r["longer"], r["shorter"]) <= edits) for r in said)
+        assert {r["near"] for r in said} == {True, False}
