@@ -60,8 +60,9 @@ def _parse(df: DataFrame, raw: str, keys: tuple[str, ...], optional: tuple[str,
         column = F.col(f"_{name}")
         reasons.append(F.when(column.isNull(), f"bad_{name}"))
         reasons.append(F.when(~_entries_ok(column, keys, optional), f"bad_{name}_entry"))
-    fields = [_entries(F.col("_classes"), keys).alias("classes")]
-    fields.append(_entries(F.col("_functions"), keys).alias("functions"))
+    held = keys if purpose else (*keys, *optional)
+    fields = [_entries(F.col("_classes"), held).alias("classes")]
+    fields.append(_entries(F.col("_functions"), held).alias("functions"))
     if purpose:
         text = F.try_variant_get("_reply", "$.reply.purpose", "string")
         fields.insert(0, text.alias("purpose"))
@@ -78,5 +79,5 @@ def parse_reply(df: DataFrame, raw: str = "output") -> DataFrame:
 
 
 def parse_split_reply(df: DataFrame, raw: str = "output") -> DataFrame:
-    """As ``parse_reply`` for replies without purposes."""
+    """As ``parse_reply`` for replies without purposes; entries keep ``code_type``, null where not given."""
     return _parse(df, raw, ("name", "source_code"), ("code_type",), purpose=False)

@@ -52,12 +52,25 @@ def ancestors(rel_path: Column) -> Column:
     )
 
 
-def apply_path_rules(files: DataFrame, paths: Sequence[str], path: str = "rel_path") -> DataFrame:
-    """Drop files that are, or lie below, one of the given paths."""
-    if not paths:
-        return files
+def _below_any(path: Column, paths: Sequence[str]) -> Column:
     listed = F.array(*[F.lit(p.strip("/")) for p in paths])
-    return files.where(~F.arrays_overlap(ancestors(F.col(path)), listed))
+    return F.coalesce(F.arrays_overlap(ancestors(F.ltrim(path, F.lit("/"))), listed), F.lit(False))
+
+
+def apply_path_rules(
+    files: DataFrame, paths: Sequence[str], path: str = "rel_path", absolute: str | None = None
+) -> DataFrame:
+    """Drop files that are, or lie below, one of the given paths.
+
+    A path with a leading slash is compared with column ``absolute``, any other one with ``path``.
+    """
+    rooted = [p for p in paths if p.startswith("/")]
+    relative = [p for p in paths if p.strip("/") and not p.startswith("/")]
+    if rooted and absolute is None:
+        raise ValueError("absolute rules need the column of absolute paths")
+    if relative:
+        files = files.where(~_below_any(F.col(path), relative))
+    return files.where(~_below_any(F.col(absolute), rooted)) if rooted else files
 
 
 def _broken(component: Column, path: Column, rules: IgnoreRules) -> list[tuple[str, Column]]:

@@ -374,9 +374,9 @@ ORACLE["route_prompt"] = with_ctes(TURNS) + f""",
 listed AS (
   SELECT conv_id, part, string_agg({LISTED}, ',' || chr(10) ORDER BY code_type, turn) AS files FROM entities GROUP BY ALL),
 openers AS (SELECT conv_id, arg_min(text, turn) AS query FROM conversations WHERE role = 'user' GROUP BY 1)
-SELECT conv_id, part, {question('query')} || {sql_text('The source files at hand:' + chr(10) * 2 + '[' + chr(10))} ||
+SELECT conv_id, part, {question("coalesce(query, '')")} || {sql_text('The source files at hand:' + chr(10) * 2 + '[' + chr(10))} ||
   coalesce(files, '') || {sql_text(chr(10) + ']' + chr(10) * 2 + 'Name at most 5' + prompts.ROUTE_ASK)} || {IN_LANGUAGE} AS prompt
-FROM heads JOIN openers USING (conv_id) LEFT JOIN listed USING (conv_id, part)"""
+FROM heads LEFT JOIN openers USING (conv_id) LEFT JOIN listed USING (conv_id, part)"""
 
 
 def summary_text(digest: str) -> str:

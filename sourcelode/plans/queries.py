@@ -484,13 +484,13 @@ def chat_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def route_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One prompt per opening user turn, over the entities of the reply to that conversation."""
+    """One prompt per reply: the opening user turn, empty where there is none, over the reply's entities."""
     question = table(spark, sf_dir, "conversations").where("role = 'user'")
     question = question.groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"))
-    parsed = parse_reply(replies(spark, sf_dir), "raw").join(question, "conv_id")
+    parsed = parse_reply(replies(spark, sf_dir), "raw").join(question, "conv_id", "left")
     entities = F.concat("reply.classes", "reply.functions")
     listed = F.transform(entities, lambda e: F.struct(parsed["file"].alias("file"), e["name"].alias("name"), e["purpose"].alias("purpose")))
-    prompt = prompts.route_prompt(F.col("query"), listed, 5, LANGUAGE)
+    prompt = prompts.route_prompt(F.coalesce("query", F.lit("")), listed, 5, LANGUAGE)
     return parsed.select("conv_id", "part", prompt.alias("prompt"))
 
 

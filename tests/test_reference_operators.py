@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 
 from sourcelode.catalogs import IgnoreRules
+from sourcelode.functions.replies import parse_split_reply
 from sourcelode.operators import changes, filters
 from sourcelode.operators.models import _answer
 from sourcelode.sources.index_table import IndexTable
@@ -49,3 +50,20 @@ def test_an_index_without_settings_is_not_wiped(spark, tmp_path):
     os.rename(tmp_path / "i" / "settings", tmp_path / "elsewhere")
     with pytest.raises(ValueError, match="no settings"):
         IndexTable.open(spark, index.path, 2, 4)
+
+
+def test_absolute_path_rules_meet_absolute_paths_only(spark):
+    files = spark.createDataFrame(
+        [("a/b/x", "/root/p/a/b/x"), ("a/bb/x", "/root/p/a/bb/x"), ("root/p/x", "/root/p/root/p/x"), (None, None)],
+        "rel_path string, file string",
+    )
+    kept = filters.apply_path_rules(files, ("/root/p/a/b", "root/p"), absolute="file")
+    assert {r["rel_path"] for r in kept.collect()} == {"a/bb/x", None}
+    with pytest.raises(ValueError, match="absolute"):
+        filters.apply_path_rules(files, ("/a",))
+
+
+def test_split_replies_keep_the_code_type(spark):
+    raw = '{"classes":[{"name":"A","source_code":"a","code_type":"class"},{"name":"B","source_code":"b"}],"functions":[]}'
+    row = parse_split_reply(spark.createDataFrame([(raw,)], "output string")).first()
+    assert row["reject"] is None and [c["code_type"] for c in row["reply"]["classes"]] == ["class", None]
