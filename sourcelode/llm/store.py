@@ -9,13 +9,24 @@ from pyspark.sql import DataFrame
 from sourcelode.session import fresh_path
 
 
-def settled(df: DataFrame, label: str) -> DataFrame:
+#: When set, shuffle files of a query are deleted at its end.
+FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame, label: str, frees: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Later uses neither recompute it nor depend on an executor, and read only the columns they need.
+    ``frees`` deletes the shuffle files of the writing query when it has ended.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(FREES, "false")
+    conf.set(FREES, "true" if frees else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(FREES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

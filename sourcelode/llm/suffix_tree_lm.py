@@ -1,17 +1,22 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-A text is its words, A-Z lowered, and an end. The tree's nodes are contexts of up to ``DEPTH`` words.
-Level by level, the occurrences of every sequence of words are counted over all learning texts, where
-a sequence is counted when both its prefix and its suffix, one word shorter, are frequent; frequent is
-what makes up ``LEAST_SHARE`` of all tokens or more. The counts of frequent sequences are exact, and
-there are at most 1 / LEAST_SHARE of each length, whatever the corpus, so the tree can be handed to
-every task. A frequent context stays a node only if its next words diverge enough from those of its
-suffix, the context without its oldest word (bits of divergence over all its occurrences).
+A text is its words, A-Z lowered, and an end. The tree's nodes are contexts of up to two words. Level
+by level, the occurrences of every sequence of words are counted over all learning texts, and every
+sequence that occurs ``LEAST`` times or more is held, however many there are; the tree grows with
+the corpus and is a table, never held whole by the driver or by a task. A context with held
+sequences is a node if its next words diverge enough from those of its suffix, the context without its
+oldest word (bits of divergence over all its occurrences).
 
 The root holds every word met, less a constant discount, and gives the discounted mass to unseen
-words, which are one symbol. A node holds its frequent next words, discounted, and gives the rest to
-its suffix. A word is scored from the longest node that is a suffix of what stands before it. Words
-that aren't frequent are in no node, so their root probability is a join away from their node's share.
+words, which are one symbol. A node holds its repeated next words, discounted, and gives the rest to
+its suffix. A word is scored from the longest node that is a suffix of what stands before it.
+
+A text's score is a sum over its sequences of one to three words: of a word its root probability, of a
+sequence in a node what that node adds to the probability from the suffix, and of a context that is a
+node the share that it gives to its suffix, all as logarithms. So sequences are counted per text and
+joined with the table of these values. Two shortcuts leave the sums as they are: a bitmap of
+``BITMAP`` bits at most leaves out sequences that are not in the table, and of the most frequent ones
+``HOT`` rows at most are handed to every task, so that no frequent sequence is a key of the join.
 
 Cases: a null or empty text has one token, the end; with nothing to learn from, every token is
 unseen and has probability 1 / 2; repeated rows count as often as they occur.
@@ -23,21 +28,28 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcelode.llm.store import settled
 from sourcelode.llm.text import HELD, Tally, slices, span_hashes, text_bytes, word_spans
 
-DEPTH = 2
-LEAST_SHARE = 1e-5
+#: Occurrences of a held sequence.
+LEAST = 2
 #: Bits that a node must save per next word that it holds.
 LEAST_GAIN = 4.0
 #: Discount of a next word's count in a node.
 DISCOUNT = 0.5
 END = -1
+#: Bits of a bitmap at most, a power of two, and its bits per key before that.
+BITMAP = 1 << 27
+BITS_PER_KEY = 64
+#: Rows of the table that are handed to every task at most.
+HOT = 1 << 19
+#: By length: how far the context's key is turned in the key of a sequence.
+TURN = {2: 23, 3: 9}
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,183 +71,294 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def extend(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Keys of sequences: the prefix's place among its length, then the word's."""
-    return prefix << 32 | word
+def extend(context: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+    """Keys of sequences of ``length``: of the context's key and that of the sequence's suffix."""
+    word, turn = context.view(np.uint64), TURN[length]
+    turned = word << np.uint64(turn) | word >> np.uint64(64 - turn)
+    return turned.view(np.int64) ^ last
 
 
-class Level(NamedTuple):
-    """Frequent sequences of one length, by sorted key, and their counts."""
+def extended(context: str, last: str, length: int) -> Column:
+    """``extend`` over columns."""
+    turn = TURN[length]
+    turned = F.shiftleft(context, turn).bitwiseOR(F.shiftrightunsigned(context, 64 - turn))
+    return turned.bitwiseXOR(F.col(last))
+
+
+def sequences(symbols: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per length, (places, keys) of the sequences, by the place at which they end."""
+    one = np.flatnonzero(np.r_[False, doc[1:] == doc[:-1]])
+    pairs = extend(symbols[one - 1], symbols[one], 2)
+    again = np.flatnonzero(np.r_[False, one[1:] == one[:-1] + 1]) if len(one) else one
+    return [(one, symbols[one]), (one, pairs), (one[again], extend(pairs[again - 1], pairs[again], 3))]
+
+
+class Bitmap:
+    """A set of keys that may seem to hold more; empty ``bits`` hold nothing."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits, self.mask = bits, np.int64(len(bits) * 8 - 1)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys & self.mask
+        return self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
+BLOCK_BITS = 1 << 20
 
-    keys: np.ndarray
-    counts: np.ndarray
 
+def bitmap(keys: DataFrame) -> Bitmap:
+    """The bitmap of ``keys`` (key). Its blocks are made apart, so the driver is sent its bits alone."""
+    size = max(1 << 10, min(BITMAP, 1 << (BITS_PER_KEY * keys.count()).bit_length()))
+    block = min(size, BLOCK_BITS)
 
-def places(symbols: np.ndarray, doc: np.ndarray, levels: list[Level]) -> list[np.ndarray]:
-    """Per length, the place of the sequence that ends at each symbol, or -1."""
-    found = [find(levels[0].keys, symbols)] if levels else []
-    inside = np.r_[False, doc[1:] == doc[:-1]]
-    for level in levels[1:]:
-        before, last = np.r_[-1, found[-1][:-1]], found[0]
-        at = np.flatnonzero(inside & (before >= 0) & (last >= 0) & (found[-1] >= 0))
-        place = np.full(len(symbols), -1)
-        place[at] = find(level.keys, extend(before[at], last[at]))
-        found.append(place)
-    return found
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        at, bits = rows["key"].to_numpy() & (block - 1), np.zeros(block, bool)
+        bits[at] = True
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
+    number = F.shiftright(F.col("key").bitwiseAND(F.lit(size - 1)), block.bit_length() - 1)
+    parts = keys.select("key", number.alias("block")).groupBy("block").applyInPandas(fill, "block bigint, bits binary")
+    bits = np.zeros((size // block, block // 8), np.uint8)
+    for row in parts.collect():
+        bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return Bitmap(bits.reshape(-1))
 
-def count_level(texts: DataFrame, known: Broadcast, length: int) -> DataFrame:
-    """(key, n): occurrences of the sequences of ``length`` over ``texts`` (text)."""
+
+class PairTally:
+    """Counts of (context, last) of one length, passed on when many are held."""
+
+    def __init__(self, length: int) -> None:
+        self.length, self.waiting, self.size = length, [], 0
+        self.held = (np.zeros(0, np.int64),) * 3
+
+    def add(self, keys: np.ndarray, contexts: np.ndarray) -> None:
+        self.waiting.append((keys, contexts, np.ones(len(keys), np.int64)))
+        self.size += len(keys)
+        if self.size > HELD:
+            self._settle()
+
+    def _settle(self) -> None:
+        keys, contexts, counts = (np.concatenate(x) for x in zip(self.held, *self.waiting, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else order
+        self.held = (
+            keys[cut], contexts[order[cut]], np.add.reduceat(counts[order], cut) if len(cut) else counts
+        )
+        self.waiting, self.size = [], 0
+
+    def take(self, least: int) -> Iterator[pa.RecordBatch]:
+        """All that is held, when it is ``least`` or more; by context, which is compressed best."""
+        if least <= 1 and self.waiting:
+            self._settle()
+        if len(self.held[0]) >= least:
+            order = np.argsort(self.held[1], kind="stable")
+            keys, contexts, counts = (x[order] for x in self.held)
+            last = extend(contexts, keys, self.length)
+            for at in range(0, len(keys), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                columns = [pa.array(x[part]) for x in (contexts, last, counts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["context", "last", "n"])
+            self.held = (np.zeros(0, np.int64),) * 3
+
+
+def count_level(texts: DataFrame, length: int, shorter: Bitmap | None = None) -> DataFrame:
+    """(context, last, n) of the sequences of ``length`` that occur ``LEAST`` times or more in ``texts``
+    (text): the keys of the sequences without the last and without the first word.
+
+    Sequences of which one of these two is not in ``shorter`` are left out; they can't be repeated.
+    """
+    known = texts.sparkSession.sparkContext.broadcast(shorter)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        tally = PairTally(length)
         for batch in slices(batches, "text"):
             symbols, doc = tokens(batch.column("text"))
-            read = np.r_[False, doc[1:] == doc[:-1]]
-            if length == 1:
-                tally.add(symbols[read])
+            found = sequences(symbols, doc)
+            at, keys = found[length - 1]
+            if length == 2:
+                contexts = symbols[at - 1]
             else:
-                found = places(symbols, doc, known.value)
-                before, last = np.r_[-1, found[-1][:-1]], found[0]
-                at = np.flatnonzero(read & (before >= 0) & (last >= 0) & (found[-1] >= 0))
-                tally.add(extend(before[at], last[at]))
+                by_place = np.zeros(len(symbols), np.int64)
+                by_place[found[length - 2][0]] = found[length - 2][1]
+                likely = np.zeros(len(symbols), bool)
+                likely[found[length - 2][0]] = known.value.has(found[length - 2][1])
+                often = likely[at] & likely[at - 1]
+                at, keys = at[often], keys[often]
+                contexts = by_place[at - 1]
+            tally.add(keys, contexts)
+            yield from tally.take(HELD)
+        yield from tally.take(1)
+
+    parts = texts.select("text").mapInArrow(run, "context bigint, last bigint, n bigint")
+    return parts.groupBy("context", "last").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """(word, c): occurrences of all words and ends in ``texts`` (text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for batch in slices(batches, "text"):
+            symbols, doc = tokens(batch.column("text"))
+            tally.add(sequences(symbols, doc)[0][1])
             yield from tally.take(HELD)
         yield from tally.take(1)
 
     parts = texts.select("text").mapInArrow(run, "key bigint, n bigint")
-    return parts.groupBy("key").agg(F.sum("n").alias("n"))
-
-
-class SuffixTree(NamedTuple):
-    """``root`` are the discounted log10 probabilities of the frequent words. ``rest[k]`` is what a
-    context of k + 1 words gives to its suffix (1 if it is no node), ``held[k]`` what it gives itself
-    to the last word of a frequent sequence of k + 2 words."""
-
-    levels: list[Level]
-    root: np.ndarray
-    rest: list[np.ndarray]
-    held: list[np.ndarray]
-    nodes: int
-
-
-def grow(levels: list[Level], root: np.ndarray) -> SuffixTree:
-    """The tree over the frequent sequences."""
-    rest, held, nodes = [], [], 0
-    below = root
-    suffix = np.zeros(len(levels[0].keys), dtype=np.int64)
-    for k, level in enumerate(levels[1:]):
-        context, word = level.keys >> 32, level.keys & 0xFFFFFFFF
-        total = levels[k].counts
-        size = len(total)
-        shorter = word if k == 0 else find(levels[k].keys, extend(suffix[context], word))
-        own = (level.counts - DISCOUNT) / total[context]
-        free = 1.0 - np.bincount(context, weights=own, minlength=size)
-        kinds = np.bincount(context, minlength=size)
-        mixed = own + free[context] * below[shorter]
-        gain = np.bincount(context, weights=level.counts * np.log2(mixed / below[shorter]), minlength=size)
-        others = total - np.bincount(context, weights=level.counts, minlength=size)
-        gain = gain + others * np.log2(np.maximum(free, 1e-300))
-        node = (kinds > 0) & (gain > LEAST_GAIN * (kinds + 1))
-        nodes += int(node.sum())
-        rest.append(np.where(node, free, 1.0))
-        held.append(np.where(node[context], own, 0.0))
-        below = held[-1] + rest[-1][context] * below[shorter]
-        suffix = shorter
-    return SuffixTree(levels, root, rest, held, nodes)
-
-
-def word_shares(tree: SuffixTree, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Per symbol, (its probability if it is a frequent word, the share that reaches the root)."""
-    share = np.ones(len(found[0]))
-    chance = np.where(found[0] >= 0, tree.root[found[0]] if len(tree.root) else 0.0, 0.0)
-    for k, rest in enumerate(tree.rest):
-        context = np.r_[-1, found[k][:-1]]
-        at = np.flatnonzero(context >= 0)
-        left = rest[context[at]]
-        share[at] *= left
-        chance[at] *= left
-        whole = found[k + 1][at]
-        chance[at] += np.where(whole >= 0, tree.held[k][whole] if len(tree.held[k]) else 0.0, 0.0)
-    return chance, share
-
-
-def learn(texts: DataFrame) -> tuple[SuffixTree, DataFrame, dict]:
-    """The tree, the counts (word, c) of all tokens and their sums over ``texts`` (text)."""
-    context = texts.sparkSession.sparkContext
-    words = settled(
-        count_level(texts, context.broadcast([]), 1).select(F.col("key").alias("word"), F.col("n").alias("c")),
-        "words",
-    )
+    return parts.groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("c"))
+
+
+def grow(counts: DataFrame, suffixes: DataFrame, length: int) -> DataFrame:
+    """The held sequences of ``length``: key, n, the probability ``chance`` of the last word after the
+    context, and ``gain``, the log10 of what the context's node adds to that from its suffix.
+
+    ``suffixes`` (key, n, chance) are those one word shorter. One row of each node also has the context
+    as ``node``, its occurrences and ``rest``, the log10 of the share that it gives to its suffix.
+    """
+    below = suffixes.select(F.col("key").alias("last"), F.col("chance").alias("below"))
+    totals = suffixes.select(F.col("key").alias("context"), F.col("n").alias("total"))
+    rows = counts.join(below, "last").join(totals, "context")
+    here = Window.partitionBy("context")
+    n, total, free = F.col("n"), F.col("total"), F.col("free")
+    rows = rows.withColumns({"kinds": F.count(F.lit(1)).over(here), "sum": F.sum("n").over(here), "first": F.min("last").over(here)})
+    rows = rows.withColumns({"own": (n - DISCOUNT) / total, "free": 1.0 - (F.col("sum") - DISCOUNT * F.col("kinds")) / total})
+    rows = rows.withColumn("mixed", F.col("own") + free * F.col("below"))
+    saved = F.sum(n * F.log2(F.col("mixed") / F.col("below"))).over(here) + (total - F.col("sum")) * F.log2("free")
+    rows = rows.withColumn("is_node", saved > LEAST_GAIN * (F.col("kinds") + 1))
+    one = F.col("is_node") & (F.col("last") == F.col("first"))
+    return rows.select(
+        extended("context", "last", length).alias("key"), "n",
+        F.when(F.col("is_node"), F.col("mixed")).otherwise(F.col("below")).alias("chance"),
+        F.when(F.col("is_node"), F.log10(F.col("mixed") / (free * F.col("below")))).alias("gain"),
+        F.when(one, F.col("context")).alias("node"), F.when(one, total).alias("node_n"), F.when(one, F.log10("free")).alias("rest"),
+    )
+
+
+def learn(texts: DataFrame, smoothing: float) -> tuple[DataFrame, dict]:
+    """The values (key, n, score, base, known) of sequences, which add up, and the sums of the counts of
+    all tokens over ``texts`` (text)."""
+    words = settled(count_words(texts), "words", frees=True)
     sums = words.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("types"),
         F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"),
     ).first().asDict()
-    least = max(2.0, LEAST_SHARE * sums["tokens"])
     sums["discount"] = (sums["once"] + 1) / (sums["once"] + 2 * sums["twice"] + 2)
-    often = words.where(F.col("c") >= least).toPandas().sort_values("word")
-    levels = [Level(often["word"].to_numpy(np.int64), often["c"].to_numpy(np.int64))]
-    for length in range(2, DEPTH + 2):
-        rows = count_level(texts, context.broadcast(levels), length).where(F.col("n") >= least).toPandas()
-        rows = rows.sort_values("key")
-        levels.append(Level(rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)))
-    root = (levels[0].counts - sums["discount"]) / max(1, sums["tokens"])
-    return grow(levels, root), words, sums
+    root = (F.col("c") - F.lit(float(sums["discount"]))) / F.lit(float(max(1, sums["tokens"])))
+    level = words.where(F.col("c") >= LEAST).select(F.col("word").alias("key"), F.col("c").alias("n"), root.alias("chance"))
+    zero = F.lit(0.0)
+    values = words.select(
+        F.col("word").alias("key"), F.col("c").alias("n"), F.log10(root).alias("score"),
+        F.log10(F.col("c") + smoothing).alias("base"), F.lit(1).alias("known"),
+    )
+    shorter = None
+    for length in (2, 3):
+        level = grow(count_level(texts, length, shorter), level, length)
+        if length == 3:
+            level = level.where("gain is not null").drop("chance")
+        level = settled(level, "level", frees=True)
+        own = level.where("gain is not null").select("key", "n", F.col("gain").alias("score"), zero, F.lit(0))
+        rest = level.where("node is not null").select("node", "node_n", "rest", zero, F.lit(0))
+        values = values.union(own).union(rest)
+        shorter = bitmap(level.select("key")) if length == 2 else None
+    return values, sums
+
+
+class Hot(NamedTuple):
+    """The values of the most frequent keys, which are sorted."""
+
+    keys: np.ndarray
+    score: np.ndarray
+    base: np.ndarray
+    known: np.ndarray
+
+
+def hottest(values: DataFrame) -> tuple[Hot, int]:
+    """The values of keys that occur a number of times or more, and that number."""
+    step = F.floor(F.log2("n") * 4).cast("int")
+    rows = sorted((r["step"], r["rows"]) for r in values.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect())
+    least, held = 1 << 62, 0
+    for at, size in reversed(rows):
+        held += size
+        if held > HOT:
+            break
+        least = int(np.ceil(2 ** (at / 4)))
+    found = values.where(F.col("n") >= least).groupBy("key").agg(F.sum("score"), F.sum("base"), F.sum("known"))
+    found = found.toPandas().sort_values("key")
+    columns = (found.iloc[:, i].to_numpy(kind) for i, kind in enumerate((np.int64, np.float64, np.float64, np.int64)))
+    return Hot(*columns), least
 
 
 def score(documents: DataFrame, held_out: Column, smoothing: float = 0.1) -> DataFrame:
     """Score all rows of ``documents`` (doc_id, text), learning from those that are not ``held_out``."""
     rows = documents.select("doc_id", "text", held_out.alias("held_out"))
-    tree, words, sums = learn(rows.where(~F.col("held_out")))
-    known = documents.sparkSession.sparkContext.broadcast(tree)
+    values, sums = learn(rows.where(~F.col("held_out")), smoothing)
+    hot, least = hottest(values)
+    cold = values.where(F.col("n") < least)
+    known = documents.sparkSession.sparkContext.broadcast((hot, bitmap(cold.select("key"))))
     unseen = sums["discount"] * sums["types"] / sums["tokens"] if sums["tokens"] else 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = known.value
-        counts = tree.levels[0].counts
+        hot, others = known.value
         for batch in slices(batches, "text"):
             symbols, doc = tokens(batch.column("text"))
-            read = np.r_[False, doc[1:] == doc[:-1]]
-            found = places(symbols, doc, tree.levels)
-            chance, share = word_shares(tree, found)
-            here, away, n = read & (found[0] >= 0), read & (found[0] < 0), batch.num_rows
-            base = np.bincount(doc[here], weights=np.log10(counts[found[0][here]] + smoothing), minlength=n)
-            whole = np.bincount(doc[here], weights=np.log10(chance[here]), minlength=n)
-            whole += np.bincount(doc[away], weights=np.log10(share[away] * unseen), minlength=n)
-            cuts = np.searchsorted(doc[away], np.arange(n + 1)).astype(np.int32)
+            n = batch.num_rows
+            totals = [np.zeros(n), np.zeros(n), np.zeros(n, np.int64)]
+            away, owner = [], []
+            for length, (at, keys) in enumerate(sequences(symbols, doc), 1):
+                found = find(hot.keys, keys)
+                here, place = doc[at[found >= 0]], found[found >= 0]
+                totals[0] += np.bincount(here, weights=hot.score[place], minlength=n)
+                if length == 1:
+                    tokens_of = np.bincount(doc[at], minlength=n)
+                    totals[1] += np.bincount(here, weights=hot.base[place], minlength=n)
+                    totals[2] += np.bincount(here, minlength=n)
+                left = (found < 0) & others.has(keys)
+                away.append(keys[left])
+                owner.append(doc[at[left]])
+            away, owner = np.concatenate(away), np.concatenate(owner)
+            order = np.lexsort((away, owner))
+            away, owner = away[order], owner[order]
+            new = np.r_[True, (away[1:] != away[:-1]) | (owner[1:] != owner[:-1])] if len(away) else np.zeros(0, bool)
+            first = np.flatnonzero(new)
+            times = np.diff(np.r_[first, len(away)]).astype(np.int32)
+            cuts = np.searchsorted(owner[first], np.arange(n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("held_out"),
-                    pa.array(np.bincount(doc[read], minlength=n).astype(np.int64)),
-                    pa.array(np.bincount(doc[here], minlength=n).astype(np.int64)),
-                    pa.array(base),
-                    pa.array(whole),
-                    pa.ListArray.from_arrays(cuts, pa.array(symbols[away])),
+                    pa.array(tokens_of.astype(np.int64)),
+                    pa.array(totals[2]),
+                    pa.array(totals[1]),
+                    pa.array(totals[0]),
+                    pa.ListArray.from_arrays(cuts, pa.array(away[first])),
+                    pa.ListArray.from_arrays(cuts, pa.array(times)),
                 ],
-                names=["doc_id", "held_out", "n_tokens", "found", "base", "score", "words"],
+                names=["doc_id", "held_out", "n_tokens", "found", "base", "score", "keys", "times"],
             )
 
     scored = rows.mapInArrow(
         run,
         "doc_id bigint, held_out boolean, n_tokens bigint, found bigint, base double, score double,"
-        " words array<bigint>",
+        " keys array<bigint>, times array<int>",
     )
     scored = settled(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    # Words that aren't frequent are looked up by a join; frequent ones would be hot keys.
-    rare = scored.select("row", F.explode("words").alias("word"))
-    gain = F.log10((F.col("c") - F.lit(float(sums["discount"]))) / F.lit(float(max(1, sums["tokens"])) * unseen))
-    looked = rare.join(words, "word").groupBy("row").agg(
-        F.count(F.lit(1)).alias("known"),
-        F.sum(F.log10(F.col("c") + smoothing)).alias("part"),
-        F.sum(gain).alias("gain"),
+    pairs = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("p")).select("row", "p.keys", "p.times")
+    cold = cold.select(F.col("key").alias("keys"), F.col("score").alias("part"), F.col("base").alias("base_part"), "known")
+    looked = pairs.join(cold, "keys").groupBy("row").agg(
+        F.sum(F.col("known") * F.col("times")).alias("known"),
+        F.sum(F.col("base_part") * F.col("times")).alias("base_part"),
+        F.sum(F.col("part") * F.col("times")).alias("part"),
     )
     everything = F.lit(float(sums["tokens"] + smoothing * (sums["types"] + 1)))
     n_known = F.col("found") + F.coalesce("known", F.lit(0))
     zero = F.lit(0.0)
-    return scored.drop("words").join(looked, "row", "left").select(
+    return scored.drop("keys", "times").join(looked, "row", "left").select(
         "doc_id", "held_out", "n_tokens", n_known.cast("long").alias("n_known"),
         F.lit(sums["tokens"]).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("part", zero) + (F.col("n_tokens") - n_known) * F.log10(F.lit(smoothing))
+        (F.col("base") + F.coalesce("base_part", zero) + (F.col("n_tokens") - n_known) * F.log10(F.lit(smoothing))
          - F.col("n_tokens") * F.log10(everything)).alias("base_score"),
-        (F.col("score") + F.coalesce("gain", zero)).alias("score"),
+        (F.col("score") + F.coalesce("part", zero)
+         + (F.col("n_tokens") - n_known) * F.log10(F.lit(float(unseen)))).alias("score"),
     )

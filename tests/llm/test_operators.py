@@ -198,3 +198,49 @@ def test_banded_distance_equals_the_whole_table(spark):
         said = frame.selectExpr("longer", "shorter", f"{within_edits(edits)} as near").collect()
         assert all(r["near"] == (distance(r["longer"], r["shorter"]) <= edits) for r in said)
         assert {r["near"] for r in said} == {True, False}
+
+
+def test_language_model_holds_every_repeated_sequence_and_equals_a_plain_tree(spark, monkeypatch):
+    from collections import Counter
+    from math import log2, log10
+
+    from pyspark.sql import functions as F
+
+    from sourcelode.llm import suffix_tree_lm as lm
+
+    pick = random.Random(8)
+    texts = [" ".join(pick.choices("abcdefgh", k=pick.randint(0, 9))) for _ in range(120)]
+    # Two occurrences of one sequence in 250,000 tokens: below a share of 1e-5, three occurrences.
+    texts += ["rare pair here"] * 2 + ["x p y"] * 20 + ["z p w"] * 20 + [" ".join(["filler"] * 1000)] * 250
+    held = ["rare pair here", "rare pair a", "a x p y", "z p y", "a b c never", "pair here rare", ""]
+    learnt, lines = [["", *t.split(), ""] for t in texts], [["", *t.split(), ""] for t in held]
+    counts = [Counter(tuple(t[i - k : i + 1]) for t in learnt for i in range(max(1, k), len(t))) for k in range(3)]
+    c = counts[0]
+    total, once, twice = sum(c.values()), sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+    discount = (once + 1) / (once + 2 * twice + 2)
+    nodes: dict[tuple, tuple[float, dict]] = {}
+
+    def chance(context: tuple, word: str) -> float:
+        if not context:
+            return (c[word,] - discount) / total if c[word,] else discount * len(c) / total
+        free, own = nodes.get(context, (1.0, {}))
+        return own.get(word, 0.0) + free * chance(context[1:], word)
+
+    for k in (1, 2):
+        for context, n in counts[k - 1].items():
+            after = {s[-1]: m for s, m in counts[k].items() if s[:-1] == context and m >= 2}
+            free = 1 - sum(m - 0.5 for m in after.values()) / n
+            gain = (n - sum(after.values())) * log2(free) if after else 0.0
+            for word, m in after.items():
+                below = chance(context[1:], word)
+                gain += m * log2(((m - 0.5) / n + free * below) / below)
+            if after and gain > 4 * (len(after) + 1):
+                nodes[context] = free, {word: (m - 0.5) / n for word, m in after.items()}
+    assert ("rare",) in nodes and ("x", "p") in nodes
+    want = [sum(log10(chance(tuple(t[max(0, i - 2) : i]), t[i])) for i in range(1, len(t))) for t in lines]
+    rows = list(enumerate(texts + held))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for hot in (lm.HOT, 20, 0):
+        monkeypatch.setattr(lm, "HOT", hot)
+        found = {r["doc_id"]: r["score"] for r in score(df, F.col("doc_id") >= len(texts)).collect()}
+        assert [found[len(texts) + i] for i in range(len(held))] == pytest.approx(want)
