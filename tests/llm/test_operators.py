@@ -244,3 +244,15 @@ def test_language_model_holds_every_repeated_sequence_and_equals_a_plain_tree(sp
         monkeypatch.setattr(lm, "HOT", hot)
         found = {r["doc_id"]: r["score"] for r in score(df, F.col("doc_id") >= len(texts)).collect()}
         assert [found[len(texts) + i] for i in range(len(held))] == pytest.approx(want)
+
+
+def test_vocabulary_equals_the_library_on_texts_that_hold_added_tokens():
+    from tokenizers import Tokenizer
+
+    library, pick = Tokenizer.from_file(JSON), random.Random(9)
+    (token,) = {x.content for x in library.get_added_tokens_decoder().values()}
+    parts = [token, token[:-1], token[1:], *strings(4, 20)]
+    for text in [f"a{token}b", token, token * 3, *("".join(pick.choices(parts, k=5)) for _ in range(300))]:
+        ids = vocabulary(JSON).encode(text)
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+        assert vocabulary(JSON).decode(ids) == text.encode()
