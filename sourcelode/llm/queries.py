@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from sourcelode.llm import fingerprint
 from sourcelode.llm.bpe_tree import decode_tree, encode_tree
+from sourcelode.llm.decontamination import with_contamination
 from sourcelode.llm.embedding_dedup import near_duplicates
+from sourcelode.llm.hard_negatives import mine_hard_negatives
 from sourcelode.llm.line_dedup import dedup_lines
 from sourcelode.llm.ngram_join import jaccard_groups
 from sourcelode.llm.packing import encode_pieces, pack
+from sourcelode.llm.recompression import with_runs
 from sourcelode.llm.sharding import shard_rows
 from sourcelode.llm.store import settled
 from sourcelode.llm.suffix_tree_lm import score
@@ -153,6 +156,43 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_words(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """One document in ten, chosen by its id, has its tail replaced by repeats of the tail's beginning."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not words:
+        return words
+    a = h // 10 % len(words)
+    p = 1 + (len(words) - a) // (3 + h // 10 % 8)
+    return words[:a] + [words[a + i % p] for i in range(len(words) - a)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = with_runs(documents, "r", key="doc_id", edit=repeated_words)
+    line = F.transform("r.runs", lambda x: F.concat(x["start"], F.lit(","), x["length"], F.lit(","), x["period"], F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("r.runs").cast("long").alias("n_runs"), "r.greatest.start", "r.greatest.length",
+        "r.greatest.period", F.expr("1000 * r.greatest.length div r.greatest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("r.collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = with_contamination(documents, table(spark, sf_dir, "benchmark"), "c", size=10)
+    return found.select(
+        "doc_id", "c.n_words", "c.n_hit", F.size("c.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("c.items", ","), 256).alias("items_sha256"), (F.col("c.n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return mine_hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_fingerprint": op2_fingerprint,
@@ -164,6 +204,9 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_tree_lm": op8_suffix_tree_lm,
     "op9_wavelet_shards": op9_wavelet_shards,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_decontamination": op12_decontamination,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
@@ -183,4 +226,54 @@ ORACLE: dict[str, str] = {
         FROM embeddings e JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) c ON c.a = e.vec_id
         LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id
     """,
+    "op12_decontamination": r"""
+        WITH item AS (
+            SELECT item_id, regexp_extract_all(replace_az, '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w
+            FROM (SELECT item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS replace_az
+                  FROM benchmark WHERE item_id IS NOT NULL)
+        ), win AS (
+            SELECT DISTINCT item_id, size, array_to_string(w[s : s + size - 1], ' ') AS words
+            FROM (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM item WHERE len(w) > 0)
+        ), doc AS (
+            SELECT row_number() OVER () AS row, doc_id,
+                   regexp_extract_all(replace_az, '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w
+            FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS replace_az FROM documents)
+        ), place AS (
+            SELECT row, size, s, array_to_string(w[s : s + size - 1], ' ') AS words
+            FROM (SELECT row, w, size, unnest(range(1, len(w) - size + 2)) AS s
+                  FROM doc, (SELECT DISTINCT size FROM win) WHERE len(w) >= size)
+        ), hit AS (
+            SELECT row, item_id, s, size FROM place JOIN win USING (size, words)
+        ), word AS (
+            SELECT row, count(DISTINCT i) AS n FROM (SELECT row, unnest(range(s, s + size)) AS i FROM hit) GROUP BY row
+        ), named AS (
+            SELECT row, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY row
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(word.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+               sha256(coalesce(named.items, '')) AS items_sha256, coalesce(word.n, 0) > 0 AS contaminated
+        FROM doc LEFT JOIN word USING (row) LEFT JOIN named USING (row)
+    """,
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, a.label AS anchor_label, r.vec_id, r.label,
+                   CAST(list_dot_product(a.e, r.e) AS BIGINT) AS score
+            FROM v a JOIN v r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id AND len(a.e) = len(r.e)
+        ), p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id,
+               CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM s JOIN p USING (anchor_id)
+        WHERE label <> anchor_label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10
+    """,
 }
