@@ -230,7 +230,7 @@ def periodic_runs(codes: list[np.ndarray]) -> list[np.ndarray]:
         start = (place - before - starts[text])[kept]
         portion = np.stack([text[kept], start, length[kept], period[kept]], axis=1)
         rows.append(np.unique(portion, axis=0))
-    if not rows:
+    if not any(map(len, rows)):
         return found
     # The same stretch shows up with multiples of its period; the least one counts.
     every = np.unique(np.concatenate(rows), axis=0)

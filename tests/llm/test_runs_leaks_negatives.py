@@ -84,6 +84,12 @@ def test_runs_equal_brute_force():
     assert [list(map(tuple, f.tolist())) for f in found] == [brute_runs(t) for t in texts]
 
 
+def test_repeats_that_make_no_run():
+    words = np.arange(60)
+    words[5] = words[1]
+    assert [len(r) for r in periodic_runs([words, words[:30]])] == [0, 0]
+
+
 def test_a_long_periodic_text_stays_cheap():
     words = np.tile(np.arange(1000), 300)
     assert [r.tolist() for r in periodic_runs([words])] == [[[0, 300_000, 1000]]]
