@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from html.entities import html5
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,28 +75,45 @@ def html_unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda t: _ENTITY.sub(_entity, t), na_action="ignore")
 
 
+def cut_points(lengths: np.ndarray, offsets: np.ndarray, limit: int) -> list[list[int]]:
+    """For each text, given its lines' lengths end to end: the lines before which a new chunk starts.
+
+    Running sums give, by one binary search for all lines of all texts, the line at which a chunk that
+    begins at a line would end; a text's cuts are then found by following these pointers.
+    """
+    sums = np.cumsum(lengths, dtype=np.int64)
+    before = sums - lengths
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    here = np.arange(len(lengths))
+    # A line at or over the limit is a chunk of its own.
+    after = np.maximum(np.searchsorted(sums, before + limit, side="left"), here + 1)
+    after = np.minimum(after, offsets[1:][text]).tolist()
+    cuts = []
+    for first, last in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        own, at = [], first
+        while at < last:
+            at = after[at]
+            own.append(at - first)
+        cuts.append(own[:-1])
+    return cuts
+
+
 def line_ends(lengths: Column, limit: int = CHUNK_BYTES) -> Column:
     """Greedy packing over line lengths: the line numbers before which a new chunk starts.
 
     A line joins the open chunk while the summed line bytes stay below ``limit``; newlines are free.
-    The fold keeps numbers only, so it is linear in the number of lines.
+    Only the lengths leave the JVM, a batch at a time.
     """
-    start = F.struct(
-        F.lit(0).alias("filled"),
-        F.lit(0).alias("line"),
-        F.array().cast("array<int>").alias("ends"),
-    )
 
-    def step(state: Column, length: Column) -> Column:
-        filled, line, ends = state["filled"], state["line"], state["ends"]
-        fits = (filled + length < limit) | (line == 0)
-        return F.struct(
-            F.when(fits, filled + length).otherwise(length).alias("filled"),
-            (line + 1).alias("line"),
-            F.when(fits, ends).otherwise(F.array_append(ends, line)).alias("ends"),
-        )
+    @F.arrow_udf("array<int>")
+    def ends(column: pa.Array) -> pa.Array:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        offsets = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]
+        cuts = cut_points(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), offsets, limit)
+        held = [None if null else own for own, null in zip(cuts, column.is_null().to_pylist(), strict=True)]
+        return pa.array(held, pa.list_(pa.int32()))
 
-    return F.aggregate(lengths, start, step, lambda state: state["ends"])
+    return ends(lengths)
 
 
 def cut_lines(lines: Column, ends: Column) -> Column:

@@ -45,23 +45,22 @@ def pool_mean(flat: Column, k: Column, dim: int) -> Column:
     )
 
 
-def window_shares(vector: Column, chunk_no: Column, k: Column, dim: int) -> Column:
-    """What one chunk adds to each pooling window it reaches: ``array<struct<slot, part>>``.
+def exact_part(x: Column) -> Column:
+    """A float as a whole number of units, ``struct<scale, units>`` with x = units * 2^(scale - 24).
 
-    Summing the parts of all chunks by slot and dividing by ``k`` gives ``pool_window``, without
-    bringing the chunks of one text together.
+    Scales are multiples of eight, so values of like size share one. Units are below 2^34: a ``sum``
+    of them by scale is exact for 2^29 values, in any order and however it is merged.
     """
-    first = chunk_no.cast("long") * F.lit(dim)
-    last = first + F.lit(dim - 1)
-    wide = k.cast("long")
-    slots = F.sequence(F.floor(first / wide), F.floor(last / wide))
-
-    def share(slot: Column) -> Column:
-        begin = F.greatest(slot * wide, first)
-        end = F.least(slot * wide + wide - F.lit(1), last)
-        piece = F.slice(
-            vector, (begin - first + F.lit(1)).cast("int"), (end - begin + F.lit(1)).cast("int")
-        )
-        return F.struct(slot.cast("int").alias("slot"), _total(piece).alias("part"))
-
-    return F.transform(slots, share)
+    wide = x.cast("double")
+    scale = F.when(wide == 0, F.lit(0)).otherwise(F.floor(F.log2(F.abs(wide)) / 8) * 8).cast("int")
+    units = (wide * F.pow(F.lit(2.0), 24 - scale)).cast("long")
+    return F.struct(scale.alias("scale"), units.alias("units"))
+
+
+def exact_total(sums: Column) -> Column:
+    """The double that sums of ``exact_part`` by scale stand for, added from the greatest scale down."""
+    return F.aggregate(
+        F.reverse(F.array_sort(sums)),
+        F.lit(0.0),
+        lambda total, s: total + s["units"].cast("double") * F.pow(F.lit(2.0), s["scale"] - 24),
+    )

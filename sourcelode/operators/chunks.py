@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourcelode.functions.text import CHUNK_BYTES, cut_lines, line_ends
-from sourcelode.functions.vectors import pool_mean, pool_window, vector_ok, window_shares
-
-GATHER_CHUNKS = 64
+from sourcelode.functions.vectors import exact_part, exact_total, vector_ok
 
 
 def pack_lines(
@@ -33,69 +31,49 @@ def pack_lines(
 
 
 def pool_chunks(
-    chunks: DataFrame,
-    key: Sequence[str],
-    dim: int,
-    mode: str = "window",
-    vector: str = "vector",
-    gather: int = GATHER_CHUNKS,
+    chunks: DataFrame, key: Sequence[str], dim: int, mode: str = "window", vector: str = "vector"
 ) -> DataFrame:
     """One row per key: ``embedding, n_chunks, embed_tokens, error``.
 
     ``chunks`` holds ``chunk_no`` (zero-based), ``n_chunks``, the vector, ``tokens`` and ``error``.
     Any failed, missing or ill-sized chunk leaves the key with an error and no embedding.
 
-    Texts of one chunk need no shuffle. Up to ``gather`` chunks are brought together. Longer texts
-    send partial sums per slot, so no task ever holds all chunks of one text. ``chunks`` is read once
-    per case: checkpoint it when it is costly.
+    A text of one chunk has that chunk's vector, without a shuffle. All others send their numbers by
+    slot to exact sums, which are merged where the numbers lie and again by slot: no task holds the
+    chunks of one text, and the result has the same bits in whatever order and partitions the chunks
+    come. ``chunks`` is read once per case: checkpoint it when it is costly.
     """
     if mode not in ("window", "mean"):
         raise ValueError(f"unknown pooling mode: {mode}")
-    pool = pool_window if mode == "window" else pool_mean
     bad = F.coalesce("error", F.when(~vector_ok(F.col(vector), dim), "bad_vector"))
-    checked = chunks.select(*key, "chunk_no", "n_chunks", "tokens", F.col(vector).alias("_v"), bad.alias("_bad"))
+    checked = chunks.select(
+        *key, "chunk_no", "n_chunks", "tokens", F.col(vector).cast("array<float>").alias("_v"), bad.alias("_bad")
+    )
     fields = ["embedding", "n_chunks", "embed_tokens", "error"]
 
     single = checked.where("n_chunks = 1").select(
         *key,
-        F.when(F.col("_bad").isNull(), F.col("_v").cast("array<float>")).alias("embedding"),
+        F.when(F.col("_bad").isNull(), F.col("_v")).alias("embedding"),
         "n_chunks",
         F.col("tokens").cast("long").alias("embed_tokens"),
         F.col("_bad").alias("error"),
     )
 
-    status = [
+    several = checked.where("n_chunks > 1")
+    status = several.groupBy(*key).agg(
         F.first("n_chunks").alias("n_chunks"),
         F.sum("tokens").cast("long").alias("embed_tokens"),
         F.coalesce(F.min("_bad"), F.when(F.count(F.lit(1)) != F.first("n_chunks"), "missing_chunk")).alias("error"),
-    ]
-    flat = F.flatten(F.transform("_parts", lambda part: part["_v"]))
-    few = (
-        checked.where((F.col("n_chunks") > 1) & (F.col("n_chunks") <= gather))
-        .groupBy(*key)
-        .agg(*status, F.array_sort(F.collect_list(F.struct("chunk_no", "_v"))).alias("_parts"))
-        .withColumn("_flat", F.when(F.col("error").isNull(), flat))
-        .select(*key, pool(F.col("_flat"), F.col("n_chunks"), dim).alias("embedding"), *fields[1:])
-    )
-
-    many = checked.where(F.col("n_chunks") > gather)
-    good = many.where("_bad is null")
-    if mode == "window":
-        shares = window_shares(F.col("_v"), F.col("chunk_no"), F.col("n_chunks"), dim)
-        spread = good.select(*key, F.inline(shares))
-    else:
-        spread = good.select(*key, F.posexplode("_v").alias("slot", "part"))
-    sums = (
-        spread.groupBy(*key, "slot")
-        .agg(F.sum(F.col("part").cast("double")).alias("total"))
-        .groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct("slot", "total"))).alias("_sums"))
     )
-    pooled = F.transform("_sums", lambda s: (s["total"] / F.col("n_chunks")).cast("float"))
-    large = (
-        many.groupBy(*key)
-        .agg(*status)
-        .join(sums, list(key), "left")
-        .select(*key, F.when(F.col("error").isNull(), pooled).alias("embedding"), *fields[1:])
+    numbers = several.where("_bad is null").select(*key, "chunk_no", "n_chunks", F.posexplode("_v").alias("_j", "_x"))
+    place = F.col("chunk_no").cast("long") * dim + F.col("_j")
+    slot = F.floor(place / F.col("n_chunks")) if mode == "window" else F.col("_j")
+    parts = numbers.select(*key, slot.cast("int").alias("_slot"), F.inline(F.array(exact_part(F.col("_x")))))
+    sums = parts.groupBy(*key, "_slot", "scale").agg(F.sum("units").alias("units"))
+    totals = sums.groupBy(*key, "_slot").agg(exact_total(F.collect_list(F.struct("scale", "units"))).alias("_total"))
+    pooled = totals.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_slot", "_total"))).alias("_totals"))
+    mean = F.transform("_totals", lambda t: (t["_total"] / F.col("n_chunks")).cast("float"))
+    large = status.join(pooled, list(key), "left").select(
+        *key, F.when(F.col("error").isNull(), mean).alias("embedding"), *fields[1:]
     )
-    return single.unionByName(few).unionByName(large)
+    return single.unionByName(large)

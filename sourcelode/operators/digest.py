@@ -5,45 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourcelode.operators.position import with_position
-from sourcelode.session import broadcast_if_small, checkpoint
+from sourcelode.operators.position import with_running_sum
 
-PART_LINES = 4096
+PART_BYTES = 256 * 1024
 
 
-def project_digest(rows: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
+def project_digest(rows: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """``(project, part_no, n_parts, n_lines, digest)``: lines ``file: purpose`` in row order.
 
-    A project of up to ``part_lines`` rows has one part. A larger one gets as many parts as it needs;
-    joined with newlines in order they are the full digest. Lines of large projects are numbered by
-    ``with_position``, so no task ever sees more of a project than one part.
+    A project's lines, newlines counted, are laid end to end and cut every ``part_bytes``; a line
+    belongs to the part in which it begins. A line counts for half a part at the most, so every part
+    but the last has two lines at least and no number is left out. Joined with newlines in order the
+    parts are the full digest. The bytes before each line come from a distributed running sum, so no
+    task ever sees more of a project than one part. Rows without a project are left out.
     """
+    if part_bytes < 2:
+        raise ValueError("a part must hold two lines at least, or summing up parts never ends")
     order = ["file", "kind_rank", "ord"]
-    lines = rows.select("project", *order, F.concat("file", F.lit(": "), "purpose").alias("line"))
-    large = checkpoint(
-        rows.groupBy("project")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > part_lines)
-        .select("project", F.ceil(F.col("_n") / part_lines).cast("long").alias("n_parts"))
+    line = F.concat("file", F.lit(": "), "purpose")
+    lines = rows.where("project is not null").select("project", *order, line.alias("line"))
+    size = F.least(F.coalesce(F.octet_length("line"), F.lit(0)) + 1, F.lit(part_bytes // 2))
+    placed = with_running_sum(lines.withColumn("size", size.cast("long")), ["project"], [*order, "line"], "size")
+    parts = placed.groupBy(
+        "project",
+        F.floor(F.col("before") / part_bytes).cast("long").alias("part_no"),
+        (F.floor(F.col("last") / part_bytes) + 1).cast("long").alias("n_parts"),
     )
-    text = F.array_join(F.transform(F.array_sort("_rows"), lambda row: row["line"]), "\n")
-    columns = ["project", "part_no", "n_parts", "n_lines", "digest"]
-
-    def joined(grouped, *sort_by: str) -> DataFrame:
-        collected = F.collect_list(F.struct(*sort_by, "line")).alias("_rows")
-        return grouped.agg(F.count(F.lit(1)).alias("n_lines"), collected).withColumn("digest", text)
-
-    if large.isEmpty():
-        whole = joined(lines.groupBy("project"), *order)
-        return whole.select("project", F.lit(0).cast("long").alias("part_no"), F.lit(1).cast("long").alias("n_parts"), *columns[3:])
-
-    known = broadcast_if_small(large)
-    small = joined(lines.join(known, "project", "left_anti").groupBy("project"), *order)
-    small = small.withColumn("part_no", F.lit(0).cast("long")).withColumn("n_parts", F.lit(1).cast("long"))
-    numbered = with_position(lines.join(known, "project"), ["project"], order)
-    parted = numbered.withColumn("part_no", F.floor(F.col("position") / part_lines).cast("long"))
-    split = joined(parted.groupBy("project", "part_no", "n_parts"), "position")
-    return small.select(*columns).unionByName(split.select(*columns))
+    gathered = parts.agg(F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(F.struct("before", "line"))).alias("_lines"))
+    return gathered.withColumn("digest", F.array_join(F.col("_lines.line"), "\n")).drop("_lines")
 
 
 def token_usage(entities: DataFrame) -> DataFrame:

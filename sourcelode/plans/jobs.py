@@ -13,12 +13,12 @@ from sourcelode.functions.replies import parse_reply
 from sourcelode.functions.text import compose_content, html_unescape
 from sourcelode.operators.changes import changed_files, drop_summary, missing_files
 from sourcelode.operators.chunks import pack_lines, pool_chunks
-from sourcelode.operators.digest import PART_LINES, project_digest, token_usage
+from sourcelode.operators.digest import PART_BYTES, project_digest, token_usage
 from sourcelode.operators.entities import explode_entities, with_content
 from sourcelode.operators.knn import fetch, knn
-from sourcelode.operators.models import EMBEDDING_TYPE, Model, run_model
+from sourcelode.operators.models import EMBEDDING_TYPE, Calls, Ledger, Model, run_model
 from sourcelode.schema import FILE_KEY, INDEX, ROW_KEY, SUMMARY_FILE, SUMMARY_NAME
-from sourcelode.session import broadcast_if_small, checkpoint
+from sourcelode.session import broadcast_if_small, checkpoint, lasting, scratch
 from sourcelode.sources.index_table import IndexTable
 
 TOO_LONG = "maximum context length"
@@ -37,24 +37,38 @@ class Models:
     split_when: str = "bytes"
     pooling: str = "window"
     partitions: int | None = None
-    part_lines: int = PART_LINES
+    part_bytes: int = PART_BYTES
+    calls: Calls = Calls()
+    ledger: Ledger | None = None
+
+    def call(self, df: DataFrame, stage: str, *names: str, **how) -> DataFrame:
+        """Run the model of a stage, past the ledger where there is one."""
+        how |= {"calls": self.calls, "partitions": how.get("partitions", self.partitions)}
+        model = getattr(self, stage)
+        return self.ledger.run_model(df, stage, model, *names, **how) if self.ledger else run_model(df, model, *names, **how)
 
 
 @dataclass
 class Built:
-    """``rows`` to index, ``rejects`` set aside (project, file, stage, reason), ``files`` with ``ok``."""
+    """``rows`` to index and their ``purposes``, both lazy; ``rejects`` set aside (project, file, stage,
+    reason); ``files`` with ``ok``."""
 
     rows: DataFrame
+    purposes: DataFrame
     rejects: DataFrame
     files: DataFrame
 
 
 @dataclass
 class Refreshed:
+    """What a job did. ``unsummarised`` (project, n_failed): projects whose summary was not made anew,
+    because some of their files failed."""
+
     changed: int = 0
     removed: int = 0
     rejects: DataFrame | None = None
     usage: DataFrame | None = None
+    unsummarised: DataFrame | None = None
 
 
 def embed_texts(df: DataFrame, key: list[str], text: str, models: Models) -> DataFrame:
@@ -69,7 +83,7 @@ def embed_texts(df: DataFrame, key: list[str], text: str, models: Models) -> Dat
         packed = pack_lines(texts, "chunk")
         # Spread by chunk: the chunks of one huge text must not stay in one task.
         spread = packed.repartition(*([models.partitions] if models.partitions else []), *key, "chunk_no")
-        called = run_model(spread, models.embed, "chunk", "vector", EMBEDDING_TYPE)
+        called = models.call(spread, "embed", "chunk", "vector", output_type=EMBEDDING_TYPE, partitions=None)
         return pool_chunks(checkpoint(called), key, models.dim, models.pooling)
 
     if models.split_when == "bytes":
@@ -77,49 +91,44 @@ def embed_texts(df: DataFrame, key: list[str], text: str, models: Models) -> Dat
     if models.split_when != "rejected":
         raise ValueError(f"unknown split_when: {models.split_when}")
     whole = wanted.withColumn("chunk_no", F.lit(0)).withColumn("n_chunks", F.lit(1))
-    called = checkpoint(
-        run_model(whole, models.embed, "chunk", "vector", EMBEDDING_TYPE, keep_prompt=True, partitions=models.partitions)
-    )
+    called = checkpoint(models.call(whole, "embed", "chunk", "vector", output_type=EMBEDDING_TYPE, keep_prompt=True))
     too_long = F.coalesce(F.contains("error", F.lit(TOO_LONG)), F.lit(False))
     short = pool_chunks(called.where(~too_long), key, models.dim, models.pooling)
     return short.unionByName(in_chunks(called.where(too_long).select(*key, "chunk")))
 
 
 def analyse(files: DataFrame, models: Models) -> DataFrame:
-    """Ask for each file's description: ``files`` plus ``output, analysis_tokens, error``."""
+    """Ask for each file's description: ``files`` plus ``output, analysis_tokens, error``. Lazy."""
     asked = files.withColumn("prompt", prompts.analyse_prompt(F.col("lang"), F.col("text"), models.language))
-    called = run_model(asked, models.analyse, partitions=models.partitions)
-    return checkpoint(called.withColumnRenamed("tokens", "analysis_tokens"))
+    called = models.call(asked, "analyse")
+    return called.withColumnRenamed("tokens", "analysis_tokens")
 
 
 def build_entities(files: DataFrame, models: Models) -> Built:
-    """Files to index rows. A file with any failed step is set aside whole, so none is half indexed."""
-    analysed = analyse(files.select(*FILE_KEY, "name", "lang", "md5", "text", "decode_ok"), models)
-    parsed = parse_reply(analysed.where("error is null"))
-    entities = checkpoint(
-        with_content(explode_entities(parsed.drop("output", "error"))).withColumn(
-            "analysis_tokens", F.when(F.col("kind_rank") == 0, F.col("analysis_tokens")).otherwise(F.lit(0).cast("long"))
-        )
-    )
-    embedded = checkpoint(embed_texts(entities, ROW_KEY, "content", models))
-
-    rejects = reduce(
-        DataFrame.unionByName,
-        [
-            analysed.where("error is not null").select(*FILE_KEY, F.lit("analyse").alias("stage"), F.col("error").alias("reason")),
-            parsed.where("reject is not null").select(*FILE_KEY, F.lit("parse").alias("stage"), F.col("reject").alias("reason")),
-            embedded.where("error is not null")
-            .groupBy(*FILE_KEY)
-            .agg(F.min("error").alias("reason"))
-            .select(*FILE_KEY, F.lit("embed").alias("stage"), "reason"),
-        ],
+    """Files to index rows. A file with any failed step is set aside whole, so none is half indexed.
+
+    Only what models said is written down: the texts once, beside their replies, and the vectors
+    without any text. Contents are composed again wherever they are needed.
+    """
+    wanted = files.select(*FILE_KEY, "name", "lang", "md5", "text", "decode_ok")
+    described = checkpoint(parse_reply(analyse(wanted, models)).drop("output"), "described")
+    failed = F.coalesce("error", "reject")
+    entities = with_content(explode_entities(described.where(failed.isNull()).drop("error"))).withColumn(
+        "analysis_tokens", F.when(F.col("kind_rank") == 0, F.col("analysis_tokens")).otherwise(F.lit(0).cast("long"))
     )
-    rejects = checkpoint(rejects)
+    vectors = checkpoint(embed_texts(entities, ROW_KEY, "content", models), "vectors")
+
+    stage = F.when(F.col("error").isNotNull(), "analyse").otherwise("parse")
+    rejects = described.where(failed.isNotNull()).select(*FILE_KEY, stage.alias("stage"), failed.alias("reason"))
+    unembedded = vectors.where("error is not null").groupBy(*FILE_KEY).agg(F.min("error").alias("reason"))
+    rejects = rejects.unionByName(unembedded.select(*FILE_KEY, F.lit("embed").alias("stage"), "reason"))
+    with lasting():
+        rejects = checkpoint(rejects, "rejects")
     bad = broadcast_if_small(rejects.select(*FILE_KEY).distinct())
-    rows = entities.join(embedded.drop("error"), ROW_KEY).join(bad, FILE_KEY, "left_anti")
-    done = files.select(*FILE_KEY).join(bad.withColumn("_bad", F.lit(True)), FILE_KEY, "left")
-    status = done.select(*FILE_KEY, F.col("_bad").isNull().alias("ok"))
-    return Built(checkpoint(rows), rejects, checkpoint(status))
+    good = entities.join(bad, FILE_KEY, "left_anti")
+    done = described.select(*FILE_KEY).join(bad.withColumn("_bad", F.lit(True)), FILE_KEY, "left")
+    status = checkpoint(done.select(*FILE_KEY, F.col("_bad").isNull().alias("ok")), "status")
+    return Built(good.join(vectors.drop("error"), ROW_KEY), good.select(*ROW_KEY, "purpose"), rejects, status)
 
 
 def summarise(rows: DataFrame, models: Models) -> DataFrame:
@@ -127,14 +136,12 @@ def summarise(rows: DataFrame, models: Models) -> DataFrame:
 
     A digest of several parts is summed up part by part and the results once more, until one is left.
     """
-    if models.part_lines < 2:
-        raise ValueError("a part must hold two lines at least, or summing up parts never ends")
     rows = rows.select("project", "file", "kind_rank", "ord", "purpose")
     finished = []
     while True:
-        parts = project_digest(rows, models.part_lines)
+        parts = project_digest(rows, models.part_bytes)
         asked = parts.select("project", "part_no", "n_parts", prompts.summary_prompt(F.col("digest"), models.language).alias("prompt"))
-        called = run_model(asked, models.summarise, partitions=models.partitions)
+        called = models.call(asked, "summarise")
         said = checkpoint(called.withColumn("summary", html_unescape("output")).drop("output"))
         finished.append(said.select("project", F.when(F.col("n_parts") == 1, F.col("summary")).alias("summary"), "tokens", "error"))
         open_parts = said.where("n_parts > 1 and error is null")
@@ -207,54 +214,72 @@ def latest_files(files: DataFrame) -> DataFrame:
 
 def rebuild_index(index: IndexTable, files: DataFrame, models: Models) -> Refreshed:
     """Clear the index and build it anew from ``files``."""
-    built = build_entities(latest_files(files), models)
-    rows = built.rows.select(*INDEX.fieldNames())
-    summaries = summary_rows(_complete(rows, built.files), models)
-    index.overwrite(rows.unionByName(summaries))
-    return Refreshed(built.files.count(), 0, built.rejects, token_usage(built.rows))
+    with scratch(index.spark):
+        built = build_entities(latest_files(files), models)
+        summaries = summary_rows(_complete(built.purposes, built.files), models)
+        index.overwrite(built.rows.select(*INDEX.fieldNames()).unionByName(summaries))
+        return _report(built, built.files.count(), 0)
 
 
-def refresh_index(index: IndexTable, files: DataFrame, models: Models, prune: bool = False) -> Refreshed:
+def _report(built: Built, changed: int, removed: int) -> Refreshed:
+    failed = built.files.where(~F.col("ok")).groupBy("project").agg(F.count(F.lit(1)).alias("n_failed"))
+    with lasting():
+        usage, failed = checkpoint(token_usage(built.rows), "usage"), checkpoint(failed, "unsummarised")
+    return Refreshed(changed, removed, built.rejects, usage, failed)
+
+
+def refresh_index(
+    index: IndexTable, files: DataFrame, models: Models, prune: bool = False, compact_after: int | None = 32
+) -> Refreshed:
     """Bring the index up to date with ``files``; nothing is written when nothing changed.
 
-    Only changed files are analysed. Rows of files no longer listed stay unless ``prune``.
+    Only changed files are analysed, and only their rows and the summaries of their projects are
+    written, as one delta. Rows of files no longer listed stay unless ``prune``. After
+    ``compact_after`` deltas the index is compacted (never when None).
     """
+    with scratch(index.spark):
+        report = _refresh(index, files, models, prune)
+    if report.changed + report.removed and compact_after and len(index.live()) > compact_after:
+        index.compact()
+    return report
+
+
+def _refresh(index: IndexTable, files: DataFrame, models: Models, prune: bool) -> Refreshed:
     files = latest_files(files)
     keys = files.select(*FILE_KEY, "md5")
-    changed = checkpoint(changed_files(keys, index.rows()))
+    held = index.rows()
+    changed = checkpoint(changed_files(keys, held), "changed")
     n_changed = changed.count()
-    gone = checkpoint(missing_files(index.rows(), keys)) if prune else None
+    gone = checkpoint(missing_files(held, keys), "gone") if prune else None
     n_gone = gone.count() if prune else 0
     if n_changed + n_gone == 0:
         return Refreshed()
 
     wanted = files.join(broadcast_if_small(changed), [*FILE_KEY, "md5"], "left_semi")
     built = build_entities(wanted, models)
-    rows = built.rows.select(*INDEX.fieldNames())
     replaced = built.files.where("ok").select(*FILE_KEY)
+    status = built.files
     if prune:
         replaced = replaced.unionByName(gone)
-    replaced = checkpoint(replaced)
-
-    status = built.files if not prune else built.files.unionByName(gone.withColumn("ok", F.lit(True)))
-    touched = broadcast_if_small(checkpoint(status.select("project").distinct()))
-    kept = drop_summary(index.rows()).join(touched, "project", "left_semi").join(broadcast_if_small(replaced), FILE_KEY, "left_anti")
-    purposes = [*ROW_KEY, "purpose"]
-    state = kept.select(*purposes).unionByName(rows.select(*purposes))
-    summaries = checkpoint(summary_rows(_complete(state, status), models))
-
-    old = summaries.select(*FILE_KEY)
+        status = status.unionByName(gone.withColumn("ok", F.lit(True)))
+    touched = broadcast_if_small(status.select("project").distinct())
+    kept = drop_summary(held.select(*ROW_KEY, "purpose")).join(touched, "project", "left_semi")
+    kept = kept.join(broadcast_if_small(replaced), FILE_KEY, "left_anti")
+    state = kept.unionByName(built.purposes)
+    summaries = checkpoint(summary_rows(_complete(state, status), models), "summaries")
+
+    old = replaced.unionByName(summaries.select(*FILE_KEY))
     if prune:
         # A project that lost its last file loses its summary row as well.
-        empty = touched.join(checkpoint(state.select("project").distinct()), "project", "left_anti")
+        empty = touched.join(state.select("project").distinct(), "project", "left_anti")
         old = old.unionByName(empty.select("project", F.lit(SUMMARY_FILE).alias("file")))
-    index.replace(checkpoint(rows.unionByName(summaries)), checkpoint(replaced.unionByName(old)))
-    return Refreshed(n_changed, n_gone, built.rejects, token_usage(built.rows))
+    index.replace(built.rows.select(*INDEX.fieldNames()).unionByName(summaries), old)
+    return _report(built, n_changed, n_gone)
 
 
 def _complete(rows: DataFrame, status: DataFrame) -> DataFrame:
     """Rows of the projects in which every file went through; the others keep their old summary."""
-    unfinished = checkpoint(status.where(~F.col("ok")).select("project").distinct())
+    unfinished = status.where(~F.col("ok")).select("project").distinct()
     return rows.join(broadcast_if_small(unfinished), "project", "left_anti")
 
 
@@ -272,7 +297,7 @@ def retrieve(
     A query without hits, or whose embedding failed, has one row with null from ``rank`` on.
     """
     asked = queries.select("query_id", "query", *([scope] if scope else []))
-    called = run_model(asked, models.embed, "query", "embedding", EMBEDDING_TYPE, keep_prompt=True, partitions=models.partitions)
+    called = models.call(asked, "embed", "query", "embedding", output_type=EMBEDDING_TYPE, keep_prompt=True)
     called = checkpoint(called)
     hits = knn(corpus, called.where("error is null"), key, "query_id", models.dim, k, scope=scope)
     found = fetch(hits, corpus, key, [content])
@@ -298,7 +323,7 @@ def ask(
     asked = gather_contents(found.where("error is null"), content).select(
         "query_id", "n_hits", prompts.ask_prompt(F.col("query"), F.col("contents"), models.language).alias("prompt")
     )
-    answered = run_model(asked, models.answer, partitions=models.partitions)
+    answered = models.call(asked, "answer")
     failed = found.where("error is not null").select("query_id", F.lit(0).cast("long").alias("n_hits"), "error")
     return answered.unionByName(failed, allowMissingColumns=True)
 

@@ -12,7 +12,7 @@ from sourcelode.functions import prompts
 ORACLE: dict[str, str] = {}
 
 LANGUAGE = "English"
-DIGEST_LINES = 64
+DIGEST_BYTES = 4096
 
 
 def sql_text(value: str) -> str:
@@ -386,15 +386,18 @@ def summary_text(digest: str) -> str:
     )
 
 
-def digest_level(level: int, source: str, lines: int) -> str:
-    """CTEs for one round of digests over ``source(project, file, kind_rank, ord, purpose)``."""
-    return f"""placed{level} AS (
-  SELECT project, file || ': ' || purpose AS line,
-    row_number() OVER (PARTITION BY project ORDER BY file, kind_rank, ord) - 1 AS pos,
-    count(*) OVER (PARTITION BY project) AS total FROM {source}),
+def digest_level(level: int, source: str, size: int) -> str:
+    """CTEs for one round of digests, cut every ``size`` bytes, over ``source(project, file, kind_rank, ord, purpose)``."""
+    return f"""lined{level} AS (SELECT *, file || ': ' || purpose AS line FROM {source}),
+placed{level} AS (
+  SELECT project, line, row_number() OVER w AS pos,
+    coalesce(sum(least(octet_length(encode(line)) + 1, {size // 2})) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM lined{level} WINDOW w AS (PARTITION BY project ORDER BY file, kind_rank, ord, line)),
+parted{level} AS (
+  SELECT project, line, pos, CAST(before // {size} AS BIGINT) AS part_no,
+    CAST(max(before) OVER (PARTITION BY project) // {size} + 1 AS BIGINT) AS n_parts FROM placed{level}),
 digests{level} AS (
-  SELECT project, pos // {lines} AS part_no, CAST((max(total) + {lines - 1}) // {lines} AS BIGINT) AS n_parts, count(*) AS n_lines,
-    string_agg(line, chr(10) ORDER BY pos) AS digest FROM placed{level} GROUP BY ALL),
+  SELECT project, part_no, n_parts, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY pos) AS digest FROM parted{level} GROUP BY ALL),
 said{level} AS (
   SELECT project, part_no, n_parts, 'Summary "' || substr(md5({summary_text('digest')}), 1, 12) || '" & more' AS summary,
     length({summary_text('digest')}) AS tokens FROM digests{level}),
@@ -403,24 +406,24 @@ next{level} AS (
   FROM said{level} WHERE n_parts > 1)"""
 
 
-def summaries(source: str, lines: int) -> str:
+def summaries(source: str, size: int) -> str:
     """CTEs ``summaries(project, summary, tokens)``; three rounds reach far beyond the given tables."""
     return ",\n".join(
         [
-            digest_level(1, source, lines),
-            digest_level(2, "next1", lines),
-            digest_level(3, "next2", lines),
+            digest_level(1, source, size),
+            digest_level(2, "next1", size),
+            digest_level(3, "next2", size),
             """said AS (SELECT * FROM said1 UNION ALL SELECT * FROM said2 UNION ALL SELECT * FROM said3),
 summaries AS (SELECT project, max(summary) FILTER (n_parts = 1) AS summary, CAST(sum(tokens) AS BIGINT) AS tokens FROM said GROUP BY 1)""",
         ]
     )
 
 
-ORACLE["project_digest"] = with_ctes(FILES, ROWS, digest_level(1, "stored", DIGEST_LINES)) + """
+ORACLE["project_digest"] = with_ctes(FILES, ROWS, digest_level(1, "stored", DIGEST_BYTES)) + """
 SELECT project, part_no, n_parts, n_lines, digest FROM digests1"""
-ORACLE["summary_prompt"] = with_ctes(FILES, ROWS, digest_level(1, "stored", DIGEST_LINES)) + f"""
+ORACLE["summary_prompt"] = with_ctes(FILES, ROWS, digest_level(1, "stored", DIGEST_BYTES)) + f"""
 SELECT project, part_no, {summary_text('digest')} AS prompt FROM digests1"""
-ORACLE["summarise_batch"] = with_ctes(FILES, ROWS, summaries("stored", DIGEST_LINES)) + "SELECT project, summary, tokens FROM summaries"
+ORACLE["summarise_batch"] = with_ctes(FILES, ROWS, summaries("stored", DIGEST_BYTES)) + "SELECT project, summary, tokens FROM summaries"
 
 SUMMARY_CONTENT = (
     "'//file whole project ' || chr(10) || '//file name: whole project summary' || chr(10) || chr(10) || "
@@ -431,7 +434,7 @@ SELECT project, 'whole project' AS file, '' AS md5, 'file' AS code_type, '' AS l
   summary AS purpose, md5({SUMMARY_CONTENT}) AS content_md5, {vector_text(hex_vector(SUMMARY_CONTENT))} AS embedding,
   CAST(0 AS BIGINT) AS kind_rank, CAST(0 AS BIGINT) AS ord, CAST(1 AS BIGINT) AS n_chunks
 FROM summaries"""
-ORACLE["summary_upsert"] = with_ctes(FILES, ROWS, summaries("stored", DIGEST_LINES)) + f"""
+ORACLE["summary_upsert"] = with_ctes(FILES, ROWS, summaries("stored", DIGEST_BYTES)) + f"""
 SELECT {ROW}, md5(purpose) AS content_md5, {vector_text(hex_vector('purpose'))} AS embedding, kind_rank, ord,
   CAST(1 AS BIGINT) AS n_chunks FROM stored UNION ALL {SUMMARY_ROWS}"""
 
@@ -472,7 +475,7 @@ ORACLE["build_entities"] = with_ctes(FILES, analysed("files"), recursive=True) +
 
 def indexed(source: str) -> str:
     return (
-        with_ctes(FILES, source, analysed("final_files"), summaries("built", 4096), recursive=True)
+        with_ctes(FILES, source, analysed("final_files"), summaries("built", 262144), recursive=True)
         + BUILT
         + " FROM built UNION ALL "
         + SUMMARY_ROWS

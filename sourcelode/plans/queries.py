@@ -48,7 +48,7 @@ QUERIES: dict[str, Query] = {}
 RULES = catalogs.IgnoreRules()
 PATH_RULES = ("src3", "src5/m25", "src7/m7/node_modules")
 LANGUAGE = LOCAL.language
-DIGEST_LINES = 64
+DIGEST_BYTES = 4096
 FILE_ROW = ["project", "file", "md5", "code_type", "lang", "name", "purpose"]
 
 
@@ -417,7 +417,7 @@ def html_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def project_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest.project_digest(stored_rows(spark, sf_dir), DIGEST_LINES)
+    return digest.project_digest(stored_rows(spark, sf_dir), DIGEST_BYTES)
 
 
 @query
@@ -427,7 +427,7 @@ def summary_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     for column in rows.columns[1:]:
         value = F.lit(SUMMARY_FILE if column == "file" else None).cast(rows.schema[column].dataType)
         stale = stale.withColumn(column, value)
-    models = replace(LOCAL, part_lines=DIGEST_LINES)
+    models = replace(LOCAL, part_bytes=DIGEST_BYTES)
     rebuilt = jobs.upsert_summary(rows.unionByName(stale), models)
     return _built_rows(rebuilt)
 
@@ -473,7 +473,7 @@ def ask_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def summary_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = digest.project_digest(stored_rows(spark, sf_dir), DIGEST_LINES)
+    parts = digest.project_digest(stored_rows(spark, sf_dir), DIGEST_BYTES)
     return parts.select("project", "part_no", prompts.summary_prompt(F.col("digest"), LANGUAGE).alias("prompt"))
 
 
@@ -505,7 +505,7 @@ def analyse_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def summarise_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = jobs.summarise(stored_rows(spark, sf_dir), replace(LOCAL, part_lines=DIGEST_LINES))
+    said = jobs.summarise(stored_rows(spark, sf_dir), replace(LOCAL, part_bytes=DIGEST_BYTES))
     return said.select("project", "summary", "tokens")
 
 

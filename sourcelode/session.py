@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,10 +63,66 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise on shared storage, so that later uses neither recompute nor depend on executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+
+class _Scratch(threading.local):
+    """Folders of a thread's running ``scratch`` blocks, innermost last."""
+
+    def __init__(self) -> None:
+        self.blocks: list[list[str]] = []
+
+
+_scratch = _Scratch()
+
+
+def checkpoint(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    Later uses neither recompute it nor depend on an executor, and read only the columns they need.
+    Inside a ``scratch`` block the folder goes when the block ends.
+    """
+    path = fresh_path(df.sparkSession, label)
+    if _scratch.blocks:
+        _scratch.blocks[-1].append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what ``checkpoint`` writes inside the block, once it ends; nothing lazy may outlive it."""
+    _scratch.blocks.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.blocks.pop():
+            delete_folder(spark, path)
+
+
+def _storage(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever storage its path names; a missing one is no error."""
+    folder, storage = _storage(spark, path)
+    storage.delete(folder, True)
+
+
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below ``path``."""
+    folder, storage = _storage(spark, path)
+    return [entry.getPath().getName() for entry in storage.listStatus(folder) if entry.isDirectory()]
+
+
+@contextmanager
+def lasting() -> Iterator[None]:
+    """Checkpoints inside the block outlive the ``scratch`` blocks around it."""
+    held, _scratch.blocks = _scratch.blocks, []
+    try:
+        yield
+    finally:
+        _scratch.blocks = held
 
 
 def _row_bytes(df: DataFrame) -> Column:

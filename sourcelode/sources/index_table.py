@@ -1,70 +1,124 @@
-"""The index as a Parquet table, laid out in hashed buckets so that a refresh rewrites only some."""
+"""The index as a log of Parquet folders: a base, deltas with tombstones on top, and a commit log.
+
+A write puts its rows, and the keys of the files it replaces or removes, into a folder of its own.
+The last step is one row in ``log/version=n``, which makes the folder part of the table; a writer that
+dies before it leaves the table as it was, and handles to older states keep reading their files.
+A reader takes the last base and the later deltas and drops rows whose file a later tombstone names,
+so a refresh costs what changed and not what is stored. ``compact`` writes a new base, ``vacuum``
+deletes what no longer counts.
+
+One writer at a time is expected. Of two that commit the same version the second one fails and may
+try again on the new state.
+"""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sourcelode.functions.vectors import vector_ok
 from sourcelode.schema import FILE_KEY, INDEX
-from sourcelode.session import broadcast_if_small, checkpoint
+from sourcelode.session import broadcast_if_small, delete_folder, list_folders
+
+STORED = T.StructType([*INDEX.fields, T.StructField("seq", T.LongType())])
+GONE = T.StructType([*[INDEX[c] for c in FILE_KEY], T.StructField("seq", T.LongType())])
+COMMIT = "kind string, folder string, n_gone bigint"
+BASE, DELTA = "base", "delta"
+
+
+@dataclass(frozen=True)
+class Commit:
+    version: int
+    kind: str
+    folder: str
+    n_gone: int
 
 
 @dataclass
 class IndexTable:
-    """Rows live in ``rows/bucket=n``; a file's rows always share a bucket."""
+    """``data/<folder>/rows`` and ``data/<folder>/gone`` hold what ``log/version=n`` makes count.
+
+    ``buckets`` is the number of files that a base is written to; None leaves it to the data's size.
+    """
 
     spark: SparkSession
     path: str
     dim: int
-    buckets: int
+    buckets: int | None = None
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, dim: int, buckets: int = 64) -> IndexTable:
+    def open(cls, spark: SparkSession, path: str, dim: int, buckets: int | None = None) -> IndexTable:
         """Open the index, creating an empty one where there is none."""
         path = path.rstrip("/")
-        try:
-            held = spark.read.schema("dim int, buckets int").parquet(f"{path}/settings").first()
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":
-                raise
-            held = None
+        held = _read(spark, "dim int", f"{path}/settings")
+        held = held and held.first()
         if held is None:
-            try:
-                spark.read.schema("project string").parquet(f"{path}/rows")
-            except AnalysisException as problem:
-                if problem.getCondition() != "PATH_NOT_FOUND":
-                    raise
-            else:
+            if _read(spark, COMMIT, f"{path}/log") is not None:
                 raise ValueError(f"{path} holds rows but no settings; restore them, or create the index anew")
             return cls.create(spark, path, dim, buckets)
         if held["dim"] != dim:
             raise ValueError(f"the index holds vectors of {held['dim']} values, not {dim}")
-        return cls(spark, path, dim, held["buckets"])
+        return cls(spark, path, dim, buckets)
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, dim: int, buckets: int = 64) -> IndexTable:
+    def create(cls, spark: SparkSession, path: str, dim: int, buckets: int | None = None) -> IndexTable:
         """Create an empty index, replacing what is there."""
         table = cls(spark, path.rstrip("/"), dim, buckets)
-        table._write(spark.createDataFrame([], INDEX), "static")
-        settings = spark.createDataFrame([(dim, buckets)], "dim int, buckets int")
+        table.clear()
+        settings = spark.createDataFrame([(dim,)], "dim int")
         settings.coalesce(1).write.mode("overwrite").parquet(f"{table.path}/settings")
         return table
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*FILE_KEY), F.lit(self.buckets)).cast("int")
+    # ---- the log --------------------------------------------------------------------------------
+
+    def log(self) -> list[Commit]:
+        """All commits, oldest first: one row each, and ``vacuum`` drops those before the last base."""
+        found = _read(self.spark, f"{COMMIT}, version bigint", f"{self.path}/log")
+        rows = found.where("folder is not null").collect() if found is not None else []
+        return sorted((Commit(r["version"], r["kind"], r["folder"], r["n_gone"]) for r in rows), key=lambda c: c.version)
+
+    def live(self) -> list[Commit]:
+        """The last base and the deltas after it."""
+        log = self.log()
+        first = max((i for i, c in enumerate(log) if c.kind == BASE), default=0)
+        return log[first:]
 
-    def _stored(self) -> DataFrame:
-        schema = T.StructType([*INDEX.fields, T.StructField("bucket", T.IntegerType())])
-        return self.spark.read.schema(schema).parquet(f"{self.path}/rows")
+    def _commit(self, after: int, kind: str, folder: str, n_gone: int) -> None:
+        version = after + 1
+        row = self.spark.createDataFrame([(kind, folder, n_gone)], COMMIT).coalesce(1)
+        while True:
+            try:
+                row.write.mode("error").parquet(f"{self.path}/log/version={version:012d}")
+                return
+            except AnalysisException as problem:
+                if problem.getCondition() != "PATH_ALREADY_EXISTS":
+                    raise
+            if any(c.version > after for c in self.log()):
+                raise RuntimeError(f"another writer has changed {self.path} since version {after}")
+            version += 1  # what a writer left that died while committing
+
+    # ---- reading --------------------------------------------------------------------------------
 
     def rows(self) -> DataFrame:
-        """All rows, all columns. Read again after each write; older handles point at replaced files."""
-        return self._stored().drop("bucket")
+        """All rows of the newest state, all columns. Later writes don't touch the files it reads."""
+        return self._rows(self.live())
+
+    def _rows(self, commits: list[Commit]) -> DataFrame:
+        reader = self.spark.read
+        stored = reader.schema(STORED).parquet(*[f"{self.path}/data/{c.folder}/rows" for c in commits])
+        tombs = [f"{self.path}/data/{c.folder}/gone" for c in commits if c.kind == DELTA and c.n_gone]
+        if tombs:
+            gone = reader.schema(GONE).parquet(*tombs).groupBy(*FILE_KEY).agg(F.max("seq").alias("gone_seq"))
+            later = (F.col("gone_seq").isNull()) | (F.col("seq") >= F.col("gone_seq"))
+            stored = stored.join(broadcast_if_small(gone), FILE_KEY, "left").where(later)
+        return stored.select(*INDEX.fieldNames())
+
+    # ---- writing --------------------------------------------------------------------------------
 
     def check(self, rows: DataFrame) -> DataFrame:
         """Rows in index shape; a vector of the wrong width fails the write."""
@@ -75,44 +129,66 @@ class IndexTable:
         shaped = rows.withColumn("embedding", width)
         return shaped.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in INDEX.fields])
 
-    def _write(self, rows: DataFrame, overwrite: str | None) -> None:
-        # The rebalance keeps a bucket's rows together but splits a bucket that is too large for a task.
-        spread = rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
-        writer = spread.write.partitionBy("bucket").mode("overwrite" if overwrite else "append")
-        if overwrite:
-            writer = writer.option("partitionOverwriteMode", overwrite)
-        writer.parquet(f"{self.path}/rows")
+    def _write(self, kind: str, rows: DataFrame | None, gone: DataFrame | None = None) -> None:
+        log = self.log()
+        after = log[-1].version if log else 0
+        folder, seq = f"{after + 1:012d}-{uuid.uuid4().hex}", F.lit(after + 1).cast("long").alias("seq")
+        place = f"{self.path}/data/{folder}"
+        rows = self.spark.createDataFrame([], INDEX) if rows is None else rows
+        rows.select("*", seq).write.parquet(f"{place}/rows")
+        n_gone = 0
+        if gone is not None:
+            gone.select(*FILE_KEY).distinct().select("*", seq).write.parquet(f"{place}/gone")
+            n_gone = self.spark.read.schema(GONE).parquet(f"{place}/gone").count()
+        self._commit(after, kind, folder, n_gone)
 
     def append(self, rows: DataFrame) -> None:
-        self._write(self.check(rows), None)
+        self._write(DELTA, self.check(rows))
 
     def overwrite(self, rows: DataFrame) -> None:
-        """Replace everything. ``rows`` must not read from this table; checkpoint first if it does."""
-        self._write(self.check(rows), "static")
+        """Replace everything. ``rows`` may read from this table: its files stay until ``vacuum``."""
+        self._write(BASE, self._laid_out(self.check(rows)))
 
     def clear(self) -> None:
-        self._write(self.spark.createDataFrame([], INDEX), "static")
+        self._write(BASE, None)
 
     def replace(self, rows: DataFrame, gone: DataFrame) -> None:
-        """Delete the files of ``gone`` (project, file) and add ``rows``, rewriting touched buckets only.
+        """Delete the files of ``gone`` (project, file), then add ``rows``, in one commit.
+
+        Only ``rows`` and the keys are written. A file whose old rows should go must be in ``gone``.
+        """
+        self._write(DELTA, self.check(rows), gone)
+
+    def _laid_out(self, rows: DataFrame) -> DataFrame:
+        """A base lies sorted by file, so that a look at few files reads few row groups."""
+        spread = rows.repartition(self.buckets, *FILE_KEY) if self.buckets else rows.hint("rebalance", *FILE_KEY)
+        return spread.sortWithinPartitions(*FILE_KEY)
+
+    def compact(self) -> None:
+        """Write the newest state as a new base."""
+        self._write(BASE, self._laid_out(self.rows()))
+
+    def vacuum(self) -> int:
+        """Delete folders that the newest state doesn't need, such as those of writers that died; how many.
 
-        Both inputs should be checkpointed. The new state of the touched buckets is settled on shared
-        storage before anything is overwritten. A crash in between is healed by the next refresh,
-        which compares fingerprints.
+        Handles to older states stop working, and so does a write under way.
         """
-        keys = rows.select(*FILE_KEY).unionByName(gone.select(*FILE_KEY)).distinct()
-        touched = checkpoint(keys.select(self._bucket().alias("bucket")).distinct())
-        numbers = [row["bucket"] for row in touched.collect()]  # at most one row per bucket
-        if not numbers:
-            return
-        stored = self._stored().where(F.col("bucket").isin(numbers)).drop("bucket")
-        dropped = broadcast_if_small(checkpoint(gone.select(*FILE_KEY).distinct()))
-        state = checkpoint(stored.join(dropped, FILE_KEY, "left_anti").select(*INDEX.fieldNames()).unionByName(self.check(rows)))
-        filled = state.select(self._bucket().alias("bucket")).distinct().count()
-        if filled == len(numbers):
-            self._write(state, "dynamic")
-            return
-        # A dynamic overwrite leaves a bucket without new rows as it was, so an emptied bucket
-        # asks for a full rewrite.
-        others = self._stored().where(~F.col("bucket").isin(numbers)).drop("bucket")
-        self._write(checkpoint(others.select(*INDEX.fieldNames()).unionByName(state)), "static")
+        live = self.live()
+        kept = {c.folder for c in live}
+        dropped = [f for f in list_folders(self.spark, f"{self.path}/data") if f not in kept]
+        for folder in dropped:
+            delete_folder(self.spark, f"{self.path}/data/{folder}")
+        for commit in self.log():
+            if commit.version < live[0].version:
+                delete_folder(self.spark, f"{self.path}/log/version={commit.version:012d}")
+        return len(dropped)
+
+
+def _read(spark: SparkSession, schema: str, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where there is no such folder."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
