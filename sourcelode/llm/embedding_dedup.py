@@ -13,7 +13,8 @@ the pair, never the links themselves, so a group of n copies costs n rows per bl
 
 Cases: vectors that are null, zero, or hold null or non-finite components link with nothing, as do
 vectors of a length other than the commonest one with vectors of another length (lengths are compared
-apart); repeated ids are one node; an empty table gives no row.
+apart); a row without an id links with nothing, counts for nobody and is kept, in no component;
+repeated ids are one node; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def _units(df: DataFrame) -> DataFrame:
                 [pa.array(ids, pa.int64()), pa.array(units, pa.binary())], names=["vec_id", "unit"]
             )
 
-    return df.where("embedding is not null").select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, unit binary")
+    return df.where("vec_id is not null and embedding is not null").select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, unit binary")
 
 
 def principal_axes(units: DataFrame, width: int) -> np.ndarray:
@@ -191,7 +192,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_rows
         vectors.select("vec_id").join(links, "vec_id", "left").join(groups, "vec_id", "left")
         .select(
             "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-            component.alias("component_id"), (F.col("vec_id") == component).alias("kept"),
+            component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"),
         )
     )
 

@@ -5,8 +5,8 @@ of bounded size, and each partition runs best-fit decreasing. A dual feasible fu
 to weights so that any set of pieces that fits one sequence weighs 1 at most; hence no packing of a
 partition needs fewer sequences than its weight, and the largest such bound certifies the count. In
 partitions above their bound the sequences with free space are opened, their pieces are dealt anew
-among all such partitions, and best-fit decreasing runs again, for a given number of rounds or until
-every partition is certified.
+among all such partitions, and best-fit decreasing runs again, until every partition is certified or
+a round saves no sequence.
 
 Cases: a null text is an empty one, whose only token is the end; repeated rows are packed as often as
 they occur; an empty table gives no pieces. Ties are broken by document, piece and checksum.
@@ -17,10 +17,11 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,6 @@ from sourcelode.llm.tokens import vocabulary
 CAPACITY = 1024
 #: Pieces packed together in one task.
 GROUP_PIECES = 40_000
-ROUNDS = 2
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint, sequences bigint, bound bigint"
@@ -121,20 +121,28 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
 
 
 def _packer(capacity: int, shift: int):
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "piece", "ids_crc32", "length"], na_position="first").reset_index(drop=True)
-        lengths = rows["length"].to_numpy()
+    keys = [(name, "ascending") for name in ("doc_id", "piece", "ids_crc32", "length")]
+
+    def pack(rows: pa.Table) -> pa.Table:
+        # Arrow keeps whole numbers whole where some of them are null.
+        rows = rows.take(pc.sort_indices(rows, sort_keys=keys, null_placement="at_start"))
+        part, rows = rows.column("part")[0].as_py(), rows.drop_columns(["part"])
+        lengths = rows.column("length").to_numpy()
         sequence, offset = best_fit_decreasing(lengths, capacity)
-        rows["sequence_id"] = sequence + ((rows["part"].iloc[0] + (shift << 22)) << 40)
-        rows["offset"] = offset
-        rows["sequences"] = int(sequence.max()) + 1
-        rows["bound"] = lower_bound(lengths, capacity)
-        return rows.drop(columns="part")
+        found = {
+            "sequence_id": sequence + ((part + (shift << 22)) << 40),
+            "offset": offset,
+            "sequences": np.full(len(lengths), int(sequence.max()) + 1),
+            "bound": np.full(len(lengths), lower_bound(lengths, capacity)),
+        }
+        for name, values in found.items():
+            rows = rows.append_column(name, pa.array(values, pa.int64()))
+        return rows
 
     return pack
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP_PIECES) -> DataFrame:
     """Assign ``sequence_id`` and ``offset`` to pieces.
 
     ``sequences`` and ``bound`` are the count and the certified least count of the partition in which
@@ -145,14 +153,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP_PIECES,
     def deal(rows: DataFrame, salt: int) -> DataFrame:
         parts = max(1, math.ceil(rows.count() / group))
         key = F.pmod(F.xxhash64(F.lit(salt), "doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(parts))
-        packed = rows.select(*names, key.alias("part")).groupBy("part").applyInPandas(
+        packed = rows.select(*names, key.alias("part")).groupBy("part").applyInArrow(
             _packer(capacity, salt), PACKED
         )
         return settled(packed, "packed")
 
     done: DataFrame | None = None
     current = deal(pieces, 0)
-    for salt in range(1, rounds + 1):
+    for salt in count(1):
         filled = current.groupBy("sequence_id").agg(F.sum("length").alias("filled"))
         gap = current.where("sequences > bound").join(filled, "sequence_id").where(F.col("filled") < capacity)
         opened = settled(gap.select(*current.columns), "opened")
