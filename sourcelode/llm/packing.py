@@ -6,7 +6,7 @@ to weights so that any set of pieces that fits one sequence weighs 1 at most; he
 partition needs fewer sequences than its weight, and the largest such bound certifies the count. In
 partitions above their bound the sequences with free space are opened, their pieces are dealt anew
 among all such partitions, and best-fit decreasing runs again, until every partition is certified or
-a round saves no sequence.
+a round saves fewer sequences than it has partitions.
 
 Cases: a null text is an empty one, whose only token is the end; repeated rows are packed as often as
 they occur; an empty table gives no pieces. Ties are broken by document, piece and checksum.
@@ -130,7 +130,7 @@ def _packer(capacity: int, shift: int):
         lengths = rows.column("length").to_numpy()
         sequence, offset = best_fit_decreasing(lengths, capacity)
         found = {
-            "sequence_id": sequence + ((part + (shift << 22)) << 40),
+            "sequence_id": sequence + ((shift << 28 | part) << 24),
             "offset": offset,
             "sequences": np.full(len(lengths), int(sequence.max()) + 1),
             "bound": np.full(len(lengths), lower_bound(lengths, capacity)),
@@ -150,16 +150,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP_PIECES)
     """
     names = [field.split()[0] for field in PIECES.split(", ")]
 
-    def deal(rows: DataFrame, salt: int) -> DataFrame:
+    def deal(rows: DataFrame, salt: int) -> tuple[DataFrame, int]:
         parts = max(1, math.ceil(rows.count() / group))
         key = F.pmod(F.xxhash64(F.lit(salt), "doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(parts))
         packed = rows.select(*names, key.alias("part")).groupBy("part").applyInArrow(
             _packer(capacity, salt), PACKED
         )
-        return settled(packed, "packed")
+        return settled(packed, "packed"), parts
 
     done: DataFrame | None = None
-    current = deal(pieces, 0)
+    current, _ = deal(pieces, 0)
     for salt in count(1):
         filled = current.groupBy("sequence_id").agg(F.sum("length").alias("filled"))
         gap = current.where("sequences > bound").join(filled, "sequence_id").where(F.col("filled") < capacity)
@@ -167,13 +167,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP_PIECES)
         before = opened.agg(F.countDistinct("sequence_id").alias("n")).first()["n"]
         if before == 0:
             break
-        again = deal(opened, salt)
-        after = again.agg(F.countDistinct("sequence_id").alias("n")).first()["n"]
-        if after >= before:
+        again, parts = deal(opened, salt)
+        saved = before - again.agg(F.countDistinct("sequence_id").alias("n")).first()["n"]
+        if saved <= 0:
             break
         closed = current.join(opened.select("sequence_id").distinct(), "sequence_id", "left_anti").select(
             *current.columns
         )
         done = closed if done is None else done.unionByName(closed)
         current = again
+        if saved < parts:
+            break
     return current if done is None else done.unionByName(current)
