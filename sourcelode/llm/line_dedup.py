@@ -10,7 +10,8 @@ differences between neighbouring cells of the band are the bits of two integers,
 character at a time.
 
 Groups are handled without their square: first each key ties its probes to one indexed line; only
-lines that then stand in different components are compared with each other.
+lines that then stand in different components are compared with each other. Pairs of which too many
+characters differ in the parity of their number are never verified, nor do they leave the join.
 
 A line is dropped when it is not the first of its component, in the order of document and line number.
 
@@ -44,7 +45,9 @@ def segment(n: Column, number: int, edits: int) -> tuple[Column, Column]:
 
 
 def _key(length: Column, number: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(number), F.substring("line", start, size))
+    """Hash of a segment's bytes. In a line of single-byte characters it is cut out without a walk to its start."""
+    part = F.when(F.col("single"), F.substring("data", start, size)).otherwise(F.substring("line", start, size).cast("binary"))
+    return F.xxhash64(length.cast("int"), F.lit(number), part)
 
 
 def index_keys(edits: int) -> list[Column]:
@@ -121,6 +124,7 @@ def _postings(documents: DataFrame, edits: int, least_chars: int) -> DataFrame:
     index, probe = index_keys(edits), probe_keys(edits)
     names = [f"k{i}" for i in range(len(index) + len(probe))]
     lines = _lines(documents).where(F.col("n") >= max(least_chars, edits + 1))
+    lines = lines.withColumn("data", F.col("line").cast("binary")).withColumn("single", F.octet_length("line") == F.col("n"))
     keyed = lines.select("lid", *(k.alias(name) for k, name in zip(index + probe, names, strict=True)))
     distinct = keyed.groupBy("lid").agg(*(F.first(name).alias(name) for name in names))
     pairs = F.array(*(F.struct(F.col(name).alias("key"), F.lit(i < len(index)).alias("indexed")) for i, name in enumerate(names)))
@@ -137,11 +141,24 @@ def _live(postings: DataFrame) -> DataFrame:
     return settled(dealt.join(shared.hint("shuffle_hash"), "key"), "live")
 
 
+def parities(line: Column) -> Column:
+    """Bit k says whether the characters with a code of k modulo 64 are odd in number."""
+    bit = lambda c: F.shiftleft(F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)))
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
+
+
+def perhaps_near(x: Column, y: Column, edits: int) -> Column:
+    """False for lines that cannot be within ``edits`` by their parities: an edit turns two bits at most."""
+    return F.bit_count(x.bitwiseXOR(y)) <= 2 * edits
+
+
 def _verify(pairs: DataFrame, contents: DataFrame, edits: int) -> DataFrame:
     """The pairs (a, b) whose lines are within ``edits``."""
-    left = contents.select(F.col("lid").alias("a"), F.col("line").alias("p"))
-    right = contents.select(F.col("lid").alias("b"), F.col("line").alias("q"))
-    both = pairs.join(left, "a").join(right, "b")
+    left = contents.select(F.col("lid").alias("a"), F.col("line").alias("p"), F.col("odd").alias("odd_p"))
+    right = contents.select(F.col("lid").alias("b"), F.col("line").alias("q"), F.col("odd").alias("odd_q"))
+    close = pairs.join(left.select("a", "odd_p"), "a").join(right.select("b", "odd_q"), "b")
+    close = close.where(perhaps_near(F.col("odd_p"), F.col("odd_q"), edits)).select("a", "b")
+    both = close.join(left, "a").join(right, "b")
     first = F.char_length("p") >= F.char_length("q")
     both = both.select(
         "a", "b", F.when(first, F.col("p")).otherwise(F.col("q")).alias("longer"),
@@ -159,7 +176,8 @@ def line_groups(documents: DataFrame, edits: int = EDITS, least_chars: int = LEA
     live = _live(_postings(documents, edits, least_chars))
     wanted = broadcast_if_small(settled(live.select("lid").distinct(), "wanted"))
     contents = _lines(documents).select("lid", "line").join(wanted, "lid", "left_semi")
-    contents = settled(contents.groupBy("lid").agg(F.first("line").alias("line")), "contents")
+    contents = contents.groupBy("lid").agg(F.first("line").alias("line")).withColumn("odd", parities(F.col("line")))
+    contents = settled(contents, "contents")
     near = settled(_pairs(live.where(~F.col("indexed")).select(F.col("pivot").alias("a"), F.col("lid").alias("b"))), "pairs")
     links = _verify(near, contents, edits)
     found = components(links)
@@ -167,9 +185,11 @@ def line_groups(documents: DataFrame, edits: int = EDITS, least_chars: int = LEA
         "key", "lid", "indexed", F.coalesce("component", "lid").alias("part")
     )
     mixed = marked.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y")
-    open_ = settled(marked.join(mixed.select("key"), "key", "left_semi"), "open")
+    open_ = marked.join(mixed.select("key"), "key", "left_semi")
+    open_ = settled(open_.join(contents.select("lid", "odd"), "lid"), "open")
     i, p = open_.where("indexed").alias("i"), open_.where(~F.col("indexed")).alias("p")
-    far = i.join(p, F.expr("i.key = p.key and i.part != p.part")).select(F.col("i.lid").alias("a"), F.col("p.lid").alias("b"))
+    apart = F.expr("i.key = p.key and i.part != p.part") & perhaps_near(F.col("i.odd"), F.col("p.odd"), edits)
+    far = i.join(p, apart).select(F.col("i.lid").alias("a"), F.col("p.lid").alias("b"))
     far = settled(_pairs(far).join(near, ["a", "b"], "left_anti"), "pairs")
     more = _verify(far, contents, edits)
     return components(links.unionByName(more)).withColumnRenamed("node", "lid")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from sourcelode.session import fresh_path
 
@@ -13,6 +14,17 @@ from sourcelode.session import fresh_path
 FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def freeing(spark: SparkSession, frees: bool = True) -> Iterator[None]:
+    """Queries that run inside the block delete their shuffle files at their end."""
+    before = spark.conf.get(FREES, "false")
+    spark.conf.set(FREES, "true" if frees else before)
+    try:
+        yield
+    finally:
+        spark.conf.set(FREES, before)
+
+
 def settled(df: DataFrame, label: str, frees: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -20,13 +32,8 @@ def settled(df: DataFrame, label: str, frees: bool = False) -> DataFrame:
     ``frees`` deletes the shuffle files of the writing query when it has ended.
     """
     path = fresh_path(df.sparkSession, label)
-    conf = df.sparkSession.conf
-    before = conf.get(FREES, "false")
-    conf.set(FREES, "true" if frees else before)
-    try:
+    with freeing(df.sparkSession, frees):
         df.write.parquet(path)
-    finally:
-        conf.set(FREES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

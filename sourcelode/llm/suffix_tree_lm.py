@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourcelode.llm.store import settled
+from sourcelode.llm.store import freeing, settled
 from sourcelode.llm.text import HELD, Tally, slices, span_hashes, text_bytes, word_spans
 
 #: Occurrences of a held sequence.
@@ -120,7 +120,9 @@ def bitmap(keys: DataFrame) -> Bitmap:
     number = F.shiftright(F.col("key").bitwiseAND(F.lit(size - 1)), block.bit_length() - 1)
     parts = keys.select("key", number.alias("block")).groupBy("block").applyInPandas(fill, "block bigint, bits binary")
     bits = np.zeros((size // block, block // 8), np.uint8)
-    for row in parts.collect():
+    with freeing(keys.sparkSession):
+        rows = parts.collect()
+    for row in rows:
         bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
     return Bitmap(bits.reshape(-1))
 
@@ -285,7 +287,8 @@ def hottest(values: DataFrame) -> tuple[Hot, int]:
             break
         least = int(np.ceil(2 ** (at / 4)))
     found = values.where(F.col("n") >= least).groupBy("key").agg(F.sum("score"), F.sum("base"), F.sum("known"))
-    found = found.toPandas().sort_values("key")
+    with freeing(values.sparkSession):
+        found = found.toPandas().sort_values("key")
     columns = (found.iloc[:, i].to_numpy(kind) for i, kind in enumerate((np.int64, np.float64, np.float64, np.int64)))
     return Hot(*columns), least
 
