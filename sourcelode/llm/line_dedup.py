@@ -141,10 +141,9 @@ def _live(postings: DataFrame) -> DataFrame:
     return settled(dealt.join(shared.hint("shuffle_hash"), "key"), "live")
 
 
-def parities(line: Column) -> Column:
+def parities(line: str) -> Column:
     """Bit k says whether the characters with a code of k modulo 64 are odd in number."""
-    bit = lambda c: F.shiftleft(F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)))
-    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
+    return F.expr(f"aggregate(split({line}, ''), 0L, (bits, c) -> bits ^ shiftleft(1L, pmod(ascii(c), 64)))")
 
 
 def perhaps_near(x: Column, y: Column, edits: int) -> Column:
@@ -176,7 +175,7 @@ def line_groups(documents: DataFrame, edits: int = EDITS, least_chars: int = LEA
     live = _live(_postings(documents, edits, least_chars))
     wanted = broadcast_if_small(settled(live.select("lid").distinct(), "wanted"))
     contents = _lines(documents).select("lid", "line").join(wanted, "lid", "left_semi")
-    contents = contents.groupBy("lid").agg(F.first("line").alias("line")).withColumn("odd", parities(F.col("line")))
+    contents = contents.groupBy("lid").agg(F.first("line").alias("line")).withColumn("odd", parities("line"))
     contents = settled(contents, "contents")
     near = settled(_pairs(live.where(~F.col("indexed")).select(F.col("pivot").alias("a"), F.col("lid").alias("b"))), "pairs")
     links = _verify(near, contents, edits)

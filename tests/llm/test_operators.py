@@ -256,3 +256,19 @@ def test_vocabulary_equals_the_library_on_texts_that_hold_added_tokens():
         ids = vocabulary(JSON).encode(text)
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
         assert vocabulary(JSON).decode(ids) == text.encode()
+
+
+def test_parities_never_part_near_lines(spark):
+    from pyspark.sql import functions as F
+
+    from sourcelode.llm.line_dedup import parities, perhaps_near
+
+    pick, rows = random.Random(11), []
+    for line in strings(12, 300):
+        other = list(line)
+        for _ in range(pick.randint(0, 2)):
+            at = pick.randint(0, len(other))
+            other[at : at + pick.randint(0, 1)] = pick.choice(["", "q", "é"])
+        rows.append((line, "".join(other)))
+    marked = spark.createDataFrame(rows, "x string, y string").select(parities("x").alias("p"), parities("y").alias("q"))
+    assert marked.where(~perhaps_near(F.col("p"), F.col("q"), 2)).count() == 0
