@@ -80,7 +80,8 @@ RULE_KINDS = (
 
 @dataclass(frozen=True)
 class IgnoreRules:
-    """Six lists of patterns; an entry with a slash is a path below the project root."""
+    """Six lists of patterns; an entry with a slash is a path below the project root, one that begins
+    with a slash an absolute path."""
 
     directories: Sequence[str] = IGNORE_DIRECTORIES
     directory_prefix: Sequence[str] = IGNORE_DIRECTORY_PREFIX

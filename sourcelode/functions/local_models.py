@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import pandas as pd
 
 LOCAL_DIM = 32
+CONTEXT_BYTES = 16_384
 
 
 def _digests(batch: pd.DataFrame) -> list[str]:
@@ -45,6 +47,32 @@ def embed():
     return lambda batch: _said(batch, [[int(c, 16) / 16 for c in digest] for digest in _digests(batch)])
 
 
+def embed_in_context():
+    """The same vectors, but texts of ``CONTEXT_BYTES`` or more are rejected, row by row."""
+
+    def fn(batch: pd.DataFrame) -> pd.DataFrame:
+        said = embed()(batch)
+        long = batch["prompt"].str.encode("utf-8").str.len() >= CONTEXT_BYTES
+        said.loc[long, "error"] = "over the maximum context length"
+        return said.assign(output=said["output"].where(~long, None), tokens=said["tokens"].where(~long, 0))
+
+    return fn
+
+
+_OFFERED = re.compile(r'^\{"file": (.*?), "name": ', re.M)
+
+
+def route():
+    """Names the first file on offer, one that is not, the first again, and the third."""
+
+    def choose(prompt: str) -> str:
+        files = _OFFERED.findall(prompt)
+        named = [*files[:1], "/not/there", *files[:1], *files[2:3]]
+        return json.dumps({"related_files": [{"file": f, "reason": f"because of {n}"} for n, f in enumerate(named)]})
+
+    return lambda batch: _said(batch, [choose(prompt) for prompt in batch["prompt"]])
+
+
 def summarise():
     return lambda batch: _said(batch, [f"Summary &quot;{digest[:12]}&quot; &amp; more" for digest in _digests(batch)])
 

@@ -81,3 +81,16 @@ def parse_reply(df: DataFrame, raw: str = "output") -> DataFrame:
 def parse_split_reply(df: DataFrame, raw: str = "output") -> DataFrame:
     """As ``parse_reply`` for replies without purposes; entries keep ``code_type``, null where not given."""
     return _parse(df, raw, ("name", "source_code"), ("code_type",), purpose=False)
+
+
+def parse_route_reply(df: DataFrame, raw: str = "output") -> DataFrame:
+    """Add ``related`` (array of ``file, reason`` in the reply's order) and ``reject``."""
+    listed = F.try_variant_get("_reply", "$.reply.related_files", "array<variant>")
+    opened = df.withColumn("_reply", _sealed(strip_fence(F.col(raw)))).withColumn("_files", listed)
+    reject = F.coalesce(
+        F.when(F.col("_reply").isNull(), "not_json"),
+        F.when(F.col("_files").isNull(), "bad_related_files"),
+        F.when(~_entries_ok(F.col("_files"), ("file", "reason"), ()), "bad_related_files_entry"),
+    )
+    related = F.when(F.col("reject").isNull(), _entries(F.col("_files"), ("file", "reason")))
+    return opened.withColumn("reject", reject).withColumn("related", related).drop("_reply", "_files")

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 CHUNK_BYTES = 8192
 FENCE_OPEN = "```json\n"
 FENCE = "```"
+#: What stands before the file, its kind, its name, its purpose and its source in composed content.
+CONTENT_PARTS = ("//file ", " \n//", " name: ", "\n\n// ", "\n")
 # ---- end of fixed values --------------------------------------------------------------------
 
 
@@ -50,10 +52,8 @@ def strip_fence(text: Column) -> Column:
 def compose_content(
     file: Column, code_type: Column, name: Column, purpose: Column, source_code: Column
 ) -> Column:
-    return F.concat(
-        F.lit("//file "), file, F.lit(" \n//"), code_type, F.lit(" name: "), name,
-        F.lit("\n\n// "), purpose, F.lit("\n"), source_code,
-    )
+    values = (file, code_type, name, purpose, source_code)
+    return F.concat(*[piece for part, value in zip(CONTENT_PARTS, values, strict=True) for piece in (F.lit(part), value)])
 
 
 _ENTITY = re.compile(r"&(?:#([0-9]+)|#[xX]([0-9a-fA-F]+)|([A-Za-z][A-Za-z0-9]*));")

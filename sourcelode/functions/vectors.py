@@ -45,8 +45,8 @@ def pool_mean(flat: Column, k: Column, dim: int) -> Column:
     )
 
 
-def exact_part(x: Column) -> Column:
-    """A float as a whole number of units, ``struct<scale, units>`` with x = units * 2^(scale - 24).
+def exact_part(x: Column) -> list[Column]:
+    """A float as a whole number of units: ``scale, units`` with x = units * 2^(scale - 24).
 
     Scales are multiples of eight, so values of like size share one. Units are below 2^34: a ``sum``
     of them by scale is exact for 2^29 values, in any order and however it is merged.
@@ -54,7 +54,7 @@ def exact_part(x: Column) -> Column:
     wide = x.cast("double")
     scale = F.when(wide == 0, F.lit(0)).otherwise(F.floor(F.log2(F.abs(wide)) / 8) * 8).cast("int")
     units = (wide * F.pow(F.lit(2.0), 24 - scale)).cast("long")
-    return F.struct(scale.alias("scale"), units.alias("units"))
+    return [scale.alias("scale"), units.alias("units")]
 
 
 def exact_total(sums: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcelode.functions.text import CHUNK_BYTES, cut_lines, line_ends
@@ -59,21 +59,34 @@ def pool_chunks(
         F.col("_bad").alias("error"),
     )
 
-    several = checked.where("n_chunks > 1")
-    status = several.groupBy(*key).agg(
-        F.first("n_chunks").alias("n_chunks"),
-        F.sum("tokens").cast("long").alias("embed_tokens"),
-        F.coalesce(F.min("_bad"), F.when(F.count(F.lit(1)) != F.first("n_chunks"), "missing_chunk")).alias("error"),
-    )
-    numbers = several.where("_bad is null").select(*key, "chunk_no", "n_chunks", F.posexplode("_v").alias("_j", "_x"))
-    place = F.col("chunk_no").cast("long") * dim + F.col("_j")
-    slot = F.floor(place / F.col("n_chunks")) if mode == "window" else F.col("_j")
-    parts = numbers.select(*key, slot.cast("int").alias("_slot"), F.inline(F.array(exact_part(F.col("_x")))))
-    sums = parts.groupBy(*key, "_slot", "scale").agg(F.sum("units").alias("units"))
-    totals = sums.groupBy(*key, "_slot").agg(exact_total(F.collect_list(F.struct("scale", "units"))).alias("_total"))
-    pooled = totals.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_slot", "_total"))).alias("_totals"))
-    mean = F.transform("_totals", lambda t: (t["_total"] / F.col("n_chunks")).cast("float"))
-    large = status.join(pooled, list(key), "left").select(
-        *key, F.when(F.col("error").isNull(), mean).alias("embedding"), *fields[1:]
+    # Each chunk of several sends its numbers to their slots, and its count and tokens to slots below 0.
+    place = F.lit(dim).cast("long") * F.col("chunk_no")
+
+    def part(x: Column, j: Column) -> Column:
+        slot = F.floor((place + j) / F.col("n_chunks")) if mode == "window" else j
+        return F.struct(slot.cast("int").alias("slot"), *exact_part(x), F.lit(None).cast("string").alias("bad"))
+
+    def extra(slot: int, units: Column, bad: Column) -> Column:
+        return F.struct(F.lit(slot).alias("slot"), F.lit(0).alias("scale"), units.cast("long").alias("units"), bad.alias("bad"))
+
+    status = F.array(extra(-1, F.lit(1), F.col("_bad")), extra(-2, F.coalesce("tokens", F.lit(0)), F.lit(None).cast("string")))
+    numbers = F.when(F.col("_bad").isNull(), F.transform("_v", part))
+    sent = F.concat(status, F.coalesce(numbers, F.slice(status, 1, 0)))
+    parts = checked.where("n_chunks > 1").select(*key, "n_chunks", F.inline(sent))
+    sums = parts.groupBy(*key, "slot", "scale").agg(
+        F.sum("units").alias("units"), F.min("bad").alias("bad"), F.max("n_chunks").alias("n_chunks")
     )
+    totals = sums.groupBy(*key, "slot").agg(
+        exact_total(F.collect_list(F.struct("scale", "units"))).alias("total"),
+        F.sum("units").alias("units"), F.min("bad").alias("bad"), F.max("n_chunks").alias("n_chunks"),
+    )
+    seen, tokens = (F.sum(F.when(F.col("slot") == slot, F.col("units"))) for slot in (-1, -2))
+    missing = F.when(seen != F.max("n_chunks"), "missing_chunk")
+    slots = F.array_sort(F.collect_list(F.when(F.col("slot") >= 0, F.struct("slot", "total"))))
+    texts = totals.groupBy(*key).agg(
+        slots.alias("_slots"), F.max("n_chunks").alias("n_chunks"), tokens.alias("embed_tokens"),
+        F.coalesce(F.min("bad"), missing).alias("error"),
+    )
+    mean = F.transform("_slots", lambda t: (t["total"] / F.col("n_chunks")).cast("float"))
+    large = texts.select(*key, F.when(F.col("error").isNull(), mean).alias("embedding"), *fields[1:])
     return single.unionByName(large)

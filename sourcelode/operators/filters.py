@@ -17,12 +17,34 @@ def _any_of(words: Sequence[str]) -> str:
     return "(?:" + "|".join(re.escape(word) for word in dict.fromkeys(words)) + ")"
 
 
-def ignored(rel_path: Column, rules: IgnoreRules) -> Column:
+def rooted(words: Sequence[str]) -> list[str]:
+    """The entries that are absolute paths, without a closing slash."""
+    return list(dict.fromkeys(f"/{word.strip('/')}" for word in words if word.startswith("/")))
+
+
+def _at_root(rel_path: Column, absolute: Column) -> Column:
+    """The project root with its closing slash: what stands before the relative path."""
+    return F.substring(absolute, F.lit(1), F.length(absolute) - F.length(rel_path))
+
+
+def ignored(rel_path: Column, rules: IgnoreRules, absolute: Column | None = None) -> Column:
     """True when any component of a path below the project root breaks any rule.
 
     Every rule looks at every component, so the whole walk is one regular expression on the path.
+    Rules that are absolute paths need ``absolute``, the file's own absolute path.
     """
-    exact = [*rules.directories, *rules.files]
+    listed = rooted([*rules.directories, *rules.files])
+    if not listed:
+        return _ignored_below(rel_path, rules)
+    if absolute is None:
+        raise ValueError("absolute rules need the column of absolute paths")
+    root = _at_root(rel_path, absolute)
+    on_the_way = F.exists(ancestors(rel_path), lambda p: F.concat(root, p).isin(*listed))
+    return _ignored_below(rel_path, rules) | F.coalesce(on_the_way, F.lit(False))
+
+
+def _ignored_below(rel_path: Column, rules: IgnoreRules) -> Column:
+    exact = [word for word in (*rules.directories, *rules.files) if not word.startswith("/")]
     prefixes = [*rules.directory_prefix, *rules.file_prefix]
     suffixes = [*rules.directory_suffix, *rules.file_suffix]
     parts = []
@@ -39,8 +61,10 @@ def ignored(rel_path: Column, rules: IgnoreRules) -> Column:
     return rel_path.rlike("|".join(parts)) if parts else F.lit(False)
 
 
-def apply_ignore_rules(files: DataFrame, rules: IgnoreRules, path: str = "rel_path") -> DataFrame:
-    return files.where(~ignored(F.col(path), rules))
+def apply_ignore_rules(
+    files: DataFrame, rules: IgnoreRules, path: str = "rel_path", absolute: str | None = None
+) -> DataFrame:
+    return files.where(~ignored(F.col(path), rules, F.col(absolute) if absolute else None))
 
 
 def ancestors(rel_path: Column) -> Column:
@@ -73,38 +97,44 @@ def apply_path_rules(
     return files.where(~_below_any(F.col(absolute), rooted)) if rooted else files
 
 
-def _broken(component: Column, path: Column, rules: IgnoreRules) -> list[tuple[str, Column]]:
-    """(reason, test) in the order in which the rules are tried."""
+def _broken(component: Column, path: Column, rules: IgnoreRules, root: Column | None) -> list[tuple[str, Column]]:
+    """(reason, test) in the order in which the rules are tried; ``root`` stands before the path."""
     tests = []
     for side in ("directory", "file"):
         exact = rules.directories if side == "directory" else rules.files
         prefixes = getattr(rules, f"{side}_prefix")
         suffixes = getattr(rules, f"{side}_suffix")
-        paths = [word.strip("/") for word in exact]
+        paths = [word.strip("/") for word in exact if not word.startswith("/")]
+        here = path.isin(*paths) if paths else F.lit(False)
+        if root is not None and rooted(exact):
+            here = here | F.concat(root, path).isin(*rooted(exact))
         tests += [
             (f"{side}_name", component.isin(*exact) if exact else F.lit(False)),
-            (f"{side}_path", path.isin(*paths) if paths else F.lit(False)),
+            (f"{side}_path", here),
             (f"{side}_prefix", component.rlike(r"\A" + _any_of(prefixes)) if prefixes else F.lit(False)),
             (f"{side}_suffix", component.rlike(_any_of(suffixes) + r"\z") if suffixes else F.lit(False)),
         ]
     return tests
 
 
-def component_reason(component: Column, path: Column, rules: IgnoreRules) -> Column:
+def component_reason(component: Column, path: Column, rules: IgnoreRules, root: Column | None = None) -> Column:
     """The first rule that one component breaks, or null."""
-    return F.coalesce(*[F.when(test, reason) for reason, test in _broken(component, path, rules)])
+    return F.coalesce(*[F.when(test, reason) for reason, test in _broken(component, path, rules, root)])
 
 
-def reject_reason(rel_path: Column, rules: IgnoreRules, known: Sequence[str]) -> Column:
+def reject_reason(
+    rel_path: Column, rules: IgnoreRules, known: Sequence[str], absolute: Column | None = None
+) -> Column:
     """Why a file is left out: its topmost bad component, then its extension; ``kept`` otherwise."""
+    root = None if absolute is None else _at_root(rel_path, absolute)
     on_the_way = F.transform(
         ancestors(rel_path),
-        lambda p: component_reason(F.substring_index(p, "/", -1), p, rules),
+        lambda p: component_reason(F.substring_index(p, "/", -1), p, rules, root),
     )
     first = F.get(F.filter(on_the_way, lambda reason: reason.isNotNull()), F.lit(0))
     ext = extension(rel_path)
     return (
-        F.when(ignored(rel_path, rules), first)
+        F.when(ignored(rel_path, rules, absolute), first)
         .when(ext == "", "no_extension")
         .when(~ext.isin(*known), "unknown_extension")
         .otherwise("kept")

@@ -1,4 +1,4 @@
-"""Row numbers and running sums inside groups of any size."""
+"""Running sums, and so row numbers, inside groups of any size."""
 
 from __future__ import annotations
 
@@ -15,41 +15,6 @@ from pyspark.sql import types as T
 from sourcelode.session import broadcast_if_small, checkpoint
 
 
-def with_position(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "position"
-) -> DataFrame:
-    """Add the zero-based position of each row in its group; ``order`` must be unique in a group.
-
-    A window would bring a whole group into one task. Here the rows are range-partitioned over group
-    and order together, so that a large group spans many partitions, and numbered inside each
-    partition; only one start per group and partition is then summed up and joined back. The sorted
-    rows are checkpointed because a recomputed range partitioning may cut elsewhere.
-    """
-    keys = [*group, *order]
-    numbered = checkpoint(
-        df.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_row", F.monotonically_increasing_id())
-        .withColumn("_slice", F.shiftright("_row", 33))
-    )
-    runs = numbered.groupBy(*group, "_slice").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first")
-    )
-    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = checkpoint(
-        runs.select(
-            *group,
-            "_slice",
-            (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
-        )
-    )
-    return (
-        numbered.join(broadcast_if_small(starts), [*group, "_slice"])
-        .withColumn(name, (F.col("_row") + F.col("_shift")).cast("long"))
-        .drop("_row", "_slice", "_shift")
-    )
-
-
 def with_running_sum(
     df: DataFrame, group: Sequence[str], order: Sequence[str], weight: str, before: str = "before", last: str = "last"
 ) -> DataFrame:
@@ -93,7 +58,7 @@ def with_running_sum(
     earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).cast("long")
     starts = stretches.withColumn("_shift", shift).withColumn(last, F.max(F.col("_shift") + F.col("_most")).over(whole))
-    starts = checkpoint(starts.drop("_sum", "_most"))
+    starts = starts.drop("_sum", "_most")
     return (
         placed.join(broadcast_if_small(starts), [*group, "_slice"])
         .withColumn(before, F.col("_in") + F.col("_shift"))

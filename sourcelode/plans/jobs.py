@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourcelode.functions import prompts
-from sourcelode.functions.replies import parse_reply
+from sourcelode.functions.replies import parse_reply, parse_route_reply
 from sourcelode.functions.text import compose_content, html_unescape
-from sourcelode.operators.changes import changed_files, drop_summary, missing_files
+from sourcelode.operators.changes import drop_summary, missing_files
 from sourcelode.operators.chunks import pack_lines, pool_chunks
 from sourcelode.operators.digest import PART_BYTES, project_digest, token_usage
 from sourcelode.operators.entities import explode_entities, with_content
@@ -33,6 +33,7 @@ class Models:
     summarise: Model
     answer: Model
     dim: int
+    route: Model | None = None
     language: str = "English"
     split_when: str = "bytes"
     pooling: str = "window"
@@ -248,7 +249,7 @@ def _refresh(index: IndexTable, files: DataFrame, models: Models, prune: bool) -
     files = latest_files(files)
     keys = files.select(*FILE_KEY, "md5")
     held = index.rows()
-    changed = checkpoint(changed_files(keys, held), "changed")
+    changed = checkpoint(index.changed(keys), "changed")
     n_changed = changed.count()
     gone = checkpoint(missing_files(held, keys), "gone") if prune else None
     n_gone = gone.count() if prune else 0
@@ -288,19 +289,21 @@ def retrieve(
     queries: DataFrame,
     models: Models,
     key: list[str],
-    content: str = "content",
+    content: str | list[str] = "content",
     k: int = 10,
     scope: str | None = None,
 ) -> DataFrame:
     """``(query_id, query, embed_tokens, error, rank, *key, dist, content)`` for ``queries(query_id, query)``.
 
+    ``content`` names one or more columns of the corpus.
+
     A query without hits, or whose embedding failed, has one row with null from ``rank`` on.
     """
     asked = queries.select("query_id", "query", *([scope] if scope else []))
     called = models.call(asked, "embed", "query", "embedding", output_type=EMBEDDING_TYPE, keep_prompt=True)
     called = checkpoint(called)
     hits = knn(corpus, called.where("error is null"), key, "query_id", models.dim, k, scope=scope)
-    found = fetch(hits, corpus, key, [content])
+    found = fetch(hits, corpus, key, [content] if isinstance(content, str) else content)
     every = called.select("query_id", "query", F.col("tokens").alias("embed_tokens"), "error")
     return every.join(found, "query_id", "left")
 
@@ -336,3 +339,49 @@ def gather_contents(found: DataFrame, content: str = "content") -> DataFrame:
         F.count("rank").alias("n_hits"),
         F.transform(F.array_sort(F.collect_list(hit)), lambda row: row["_text"]).alias("contents"),
     )
+
+
+def routed_ask(
+    index: DataFrame, queries: DataFrame, models: Models, max_files: int = 5, k: int = 10, scope: str | None = None
+) -> DataFrame:
+    """``(query_id, n_files, n_unknown, output, tokens, error)``: ask in two steps.
+
+    The k nearest entities of a query are offered to the routing model by file, name and purpose; of
+    the files that its reply names, those on offer count, once each, in its order, up to
+    ``max_files``, and the query is answered from their file rows. ``n_unknown`` counts named files
+    that were not on offer. A query whose embedding, routing or reply failed is not answered and says why.
+    """
+    if models.route is None:
+        raise ValueError("routing needs a model")
+    offer = ["name", "purpose"]
+    found = checkpoint(retrieve(index, queries, models, ROW_KEY, offer, k, scope), "offered")
+    row = F.when(F.col("rank").isNotNull(), F.struct("rank", *FILE_KEY, *offer))
+    offered = found.where("error is null").groupBy("query_id").agg(
+        F.first("query").alias("query"), F.array_sort(F.collect_list(row)).alias("offered")
+    )
+    prompt = prompts.route_prompt(F.col("query"), F.col("offered"), max_files, models.language)
+    routed = models.call(offered.withColumn("prompt", prompt), "route").withColumnRenamed("tokens", "route_tokens")
+    routed = checkpoint(parse_route_reply(routed).withColumn("error", F.coalesce("error", "reject")), "routed")
+
+    named = F.array_distinct(F.col("related.file"))
+    known = F.filter(named, lambda f: F.array_contains("offered.file", f))
+    chosen = F.transform(
+        F.slice(known, 1, max_files),
+        lambda f, n: F.struct(n.alias("place"), F.filter("offered", lambda o: o["file"] == f)[0].alias("row")),
+    )
+    good = routed.where("error is null").select(
+        "query_id", "query", chosen.alias("chosen"), (F.size(named) - F.size(known)).cast("long").alias("n_unknown")
+    )
+    wanted = good.select("query_id", F.inline("chosen")).select("query_id", "place", "row.project", "row.file")
+    wanted = checkpoint(wanted, "wanted")
+    texts = index.where("kind_rank = 0").select(*FILE_KEY, "content")
+    fetched = texts.join(broadcast_if_small(wanted), FILE_KEY)
+    contents = fetched.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "content"))).alias("rows"))
+    texts_of = F.coalesce(F.col("rows.content"), F.array().cast("array<string>"))
+    asked = good.join(contents, "query_id", "left").select(
+        "query_id", F.size("chosen").cast("long").alias("n_files"), "n_unknown",
+        prompts.ask_prompt(F.col("query"), texts_of, models.language).alias("prompt"),
+    )
+    answered = models.call(asked, "answer")
+    failed = found.select("query_id", "error").unionByName(routed.select("query_id", "error")).where("error is not null")
+    return answered.unionByName(failed, allowMissingColumns=True)

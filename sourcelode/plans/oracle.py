@@ -152,6 +152,7 @@ SELECT project, rel_path, lang,
   CASE WHEN doc_id % 7 = 0 THEN 0 ELSE CAST(strlen(text) AS BIGINT) END AS n_bytes
 FROM files WHERE lang <> 'unknown' AND doc_id NOT IN (SELECT doc_id FROM hits)"""
 
+ORACLE["read_tree"] = ORACLE["scan_files"]
 ORACLE["decode_text"] = """
 SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS text, doc_id % 7 <> 0 AS decode_ok FROM documents"""
 
@@ -187,6 +188,26 @@ ORACLE["ignore_paths"] = with_ctes(FILES) + """
 SELECT project, file FROM files
 WHERE project <> 'src3' AND NOT (project = 'src5' AND doc_id = 25) AND NOT (project = 'src7' AND starts_with(rel_path, 'm7/node_modules/'))"""
 
+ROOTED = f"""ways AS (
+  SELECT doc_id, i, string_split(rel_path, '/')[i] AS c, array_to_string(string_split(rel_path, '/')[1:i], '/') AS p,
+    '/proj/' || project || '/' || array_to_string(string_split(rel_path, '/')[1:i], '/') AS whole
+  FROM (SELECT *, unnest(range(1, len(string_split(rel_path, '/')) + 1)) AS i FROM files)),
+met AS (
+  SELECT doc_id, arg_min(reason, i) AS reason FROM (
+    SELECT doc_id, i, CASE
+      WHEN p IN (SELECT unnest({sql_list(f'm{n}/node_modules' for n in range(5, 400, 16))}))
+        OR whole IN (SELECT unnest({sql_list(f'/proj/src{n}/m{n}' for n in range(20))})) THEN 'directory_path'
+      WHEN starts_with(c, 'core') THEN 'directory_prefix'
+      WHEN p IN ('m0/target/README', 'm1/target/README', 'm2/target/README', 'm3/target/README', 'm4/target/README', 'm18/target/README.py')
+        OR whole = '/proj/src8/m8/src/README' THEN 'file_path'
+      WHEN ends_with(c, '.java') THEN 'file_suffix' END AS reason
+    FROM ways) WHERE reason IS NOT NULL GROUP BY doc_id)"""
+ORACLE["reject_path_reasons"] = with_ctes(FILES, ROOTED) + """
+SELECT coalesce(reason, CASE WHEN ext = '' THEN 'no_extension' WHEN lang = 'unknown' THEN 'unknown_extension' ELSE 'kept' END) AS reason,
+  count(*) AS n_files FROM files LEFT JOIN met USING (doc_id) GROUP BY 1"""
+ORACLE["ignore_rooted"] = with_ctes(FILES, ROOTED) + """
+SELECT project, file FROM files WHERE doc_id NOT IN (SELECT doc_id FROM met)"""
+
 ORACLE["reject_reasons"] = with_ctes(FILES, RULES, COMPONENTS) + """,
 ranked AS (
   SELECT doc_id, i, min(CASE kind
@@ -319,6 +340,19 @@ SELECT vec_id, CAST(64 - vec_id % 3 AS BIGINT) AS width, vec_id % 3 = 0 AS fits
 ORACLE["embed_text"] = f"""
 SELECT doc_id, {vector_text(hex_vector('text'))} AS embedding, CAST(length(text) AS BIGINT) AS tokens FROM documents"""
 
+LONG_TEXTS = f"""long_texts AS (SELECT doc_id, text FROM documents WHERE strlen(text) >= 16384),
+{packing('long_texts', 'doc_id', 'text')},
+vectors AS (SELECT doc_id, chunk_no, {hex_vector('chunk')} AS v, strlen(chunk) < 16384 AS ok, length(chunk) AS tokens FROM chunk_rows),
+flats AS (
+  SELECT doc_id, flatten(list(v ORDER BY chunk_no)) AS flat, count(*) AS k, bool_and(ok) AS fine,
+    CAST(sum(CASE WHEN ok THEN tokens ELSE 0 END) AS BIGINT) AS embed_tokens FROM vectors GROUP BY ALL),
+pooled AS (SELECT doc_id, CASE WHEN fine THEN {POOL_32} END AS embedding, k AS n_chunks, embed_tokens, fine FROM flats)"""
+ORACLE["embed_rejected_text"] = with_ctes(LONG_TEXTS, recursive=True) + f"""
+SELECT doc_id, {vector_text('embedding')} AS embedding, n_chunks, embed_tokens,
+  CASE WHEN NOT fine THEN 'over the maximum context length' END AS error FROM pooled
+UNION ALL
+SELECT doc_id, {vector_text(hex_vector('text'))}, 1, length(text), NULL FROM documents WHERE strlen(text) < 16384"""
+
 NEIGHBOURS = f"""pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id, {distance('c.embedding', 'q.embedding')} AS dist FROM embeddings q, embeddings c),
 neighbours AS (
@@ -367,6 +401,20 @@ SELECT query_id, n_hits, 'Answer ' || md5(prompt) AS output, CAST(length(prompt)
 ORACLE["answer_batch"] = f"""
 SELECT item_id AS query_id, 'Answer ' || md5({CHAT_PROMPT}) AS output, CAST(length({CHAT_PROMPT}) AS BIGINT) AS tokens FROM benchmark"""
 
+ROUTED = f"""asked AS (SELECT item_id AS query_id, text AS query, {hex_vector('text')} AS qv FROM benchmark),
+held AS (SELECT *, {hex_vector('purpose')} AS v FROM stored),
+pairs AS (SELECT query_id, query, project, file, kind_rank, ord, {distance('v', 'qv')} AS dist FROM asked, held),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, project, file, kind_rank, ord) AS rank FROM pairs),
+named AS (SELECT query_id, query, file, project, min(rank) AS place FROM ranked WHERE rank IN (1, 3) GROUP BY ALL),
+prompts AS (
+  SELECT query_id, count(*) AS n_files, {question('named.query')} ||
+    {sql_text('Answer with the help of these descriptions and sources:' + chr(10) * 2)} ||
+    string_agg(purpose, chr(10) || chr(10) ORDER BY place) ||
+    {sql_text(chr(10) * 2 + 'Do not repeat the sources in full.')} || {IN_LANGUAGE} AS prompt
+  FROM named JOIN stored USING (project, file) WHERE kind_rank = 0 GROUP BY query_id, named.query)"""
+ORACLE["routed_ask"] = with_ctes(FILES, ROWS, ROUTED) + """
+SELECT query_id, n_files, CAST(1 AS BIGINT) AS n_unknown, 'Answer ' || md5(prompt) AS output, CAST(length(prompt) AS BIGINT) AS tokens FROM prompts"""
+
 LISTED = (
     "'{\"file\": /conv/c' || conv_id || '/p' || part || '.py, \"name\": ' || name || ', \"purpose\": ' || purpose || '}'"
 )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcelode import catalogs
-from sourcelode.functions import prompts
+from sourcelode.functions import local_models, prompts
 from sourcelode.functions import text as text_columns
 from sourcelode.functions.replies import parse_reply, parse_split_reply
 from sourcelode.functions.vectors import vector_ok
@@ -20,7 +20,7 @@ from sourcelode.operators.chunks import pack_lines, pool_chunks
 from sourcelode.operators.entities import explode_entities, with_content
 from sourcelode.operators.knn import knn
 from sourcelode.operators.models import EMBEDDING_TYPE, run_model
-from sourcelode.operators.position import with_position
+from sourcelode.operators.position import with_running_sum
 from sourcelode.plans import jobs
 from sourcelode.plans.relations import (
     LOCAL,
@@ -38,6 +38,7 @@ from sourcelode.plans.relations import (
 )
 from sourcelode.schema import FILES, ROW_KEY, SUMMARY_FILE
 from sourcelode.session import checkpoint, fresh_path
+from sourcelode.sources import tree_source
 from sourcelode.sources.index_table import IndexTable
 from sourcelode.sources.tree import scan_files as scan_tree_files
 from sourcelode.streaming.refresh import refresh_stream as start_refresh
@@ -47,6 +48,13 @@ QUERIES: dict[str, Query] = {}
 
 RULES = catalogs.IgnoreRules()
 PATH_RULES = ("src3", "src5/m25", "src7/m7/node_modules")
+#: Relative and absolute paths as rules, beside one prefix and one suffix.
+ROOTED_RULES = catalogs.IgnoreRules(
+    directories=(*(f"m{n}/node_modules" for n in range(5, 400, 16)), *(f"/proj/src{n}/m{n}" for n in range(20))),
+    directory_prefix=("core",), directory_suffix=(),
+    files=(*(f"m{n}/target/README" for n in range(5)), "/proj/src8/m8/src/README", "m18/target/README.py"),
+    file_prefix=(), file_suffix=(".java",),
+)
 LANGUAGE = LOCAL.language
 DIGEST_BYTES = 4096
 FILE_ROW = ["project", "file", "md5", "code_type", "lang", "name", "purpose"]
@@ -86,6 +94,16 @@ def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("project", "rel_path", "lang", "md5", "decode_ok", F.octet_length("text").cast("long").alias("n_bytes"))
 
 
+@query
+def read_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tree through the data source."""
+    root = str(Path(shared_folder(spark), Path(fresh_path(spark, "tree")).name))
+    files = source_files(spark, sf_dir)
+    write_tree(spark, files.withColumn("bytes", damaged_bytes(F.col("text"), F.col("doc_id") % 7 == 0)), root)
+    found = tree_source.read_tree(spark, root, RULES)
+    return found.select("project", "rel_path", "lang", "md5", "decode_ok", F.octet_length("text").cast("long").alias("n_bytes"))
+
+
 @query
 def decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = table(spark, sf_dir, "documents").select(
@@ -183,6 +201,20 @@ def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_files(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n_files"))
 
 
+@query
+def reject_path_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons under rules of which most are paths, relative and absolute."""
+    known = [ext for exts in catalogs.LANGUAGE_EXTENSIONS.values() for ext in exts]
+    reason = filters.reject_reason(F.col("rel_path"), ROOTED_RULES, known, F.col("file"))
+    return source_files(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query
+def ignore_rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left under rules of which most are paths, relative and absolute."""
+    return filters.apply_ignore_rules(source_files(spark, sf_dir), ROOTED_RULES, absolute="file").select("project", "file")
+
+
 @query
 def ext_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = catalogs.extension_frame(spark)
@@ -329,8 +361,8 @@ def pack_lines_(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pooled_by_label(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     """All vectors of a label as the chunks of one text, in the order of their ids."""
     vectors = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
-    sizes = vectors.groupBy("label").agg(F.count(F.lit(1)).cast("int").alias("n_chunks"))
-    chunks = with_position(vectors, ["label"], ["vec_id"], "chunk_no").join(sizes, "label")
+    numbered = with_running_sum(vectors.withColumn("one", F.lit(1).cast("long")), ["label"], ["vec_id"], "one", "chunk_no")
+    chunks = numbered.withColumn("n_chunks", (F.col("last") + 1).cast("int"))
     chunks = chunks.withColumn("tokens", F.lit(1)).withColumn("error", F.lit(None).cast("string"))
     pooled = pool_chunks(chunks, ["label"], 64, mode, "embedding")
     return longs(pooled.select("label", "n_chunks", vector_text(F.col("embedding")).alias("embedding")), "label", "n_chunks")
@@ -368,6 +400,15 @@ def embed_long_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(shown, "n_chunks")
 
 
+@query
+def embed_rejected_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts are embedded whole; only what the model calls too long is packed and pooled."""
+    models = replace(LOCAL, embed=local_models.embed_in_context, split_when="rejected")
+    pooled = jobs.embed_texts(table(spark, sf_dir, "documents"), ["doc_id"], "text", models)
+    shown = pooled.select("doc_id", vector_text(F.col("embedding")).alias("embedding"), "n_chunks", "embed_tokens", "error")
+    return longs(shown, "n_chunks")
+
+
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
@@ -521,6 +562,14 @@ def ask_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("query_id", "n_hits", "output", "tokens")
 
 
+@query
+def routed_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-step asking over index rows; every reply names an unknown file and a repeated one."""
+    index = with_vectors(stored_rows(spark, sf_dir))
+    said = jobs.routed_ask(index, _questions(spark, sf_dir), LOCAL)
+    return said.select("query_id", "n_files", "n_unknown", "output", "tokens")
+
+
 # ---- jobs -----------------------------------------------------------------------------------
 
 

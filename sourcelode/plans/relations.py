@@ -28,6 +28,7 @@ LOCAL = Models(
     summarise=local_models.summarise,
     answer=local_models.answer,
     dim=local_models.LOCAL_DIM,
+    route=local_models.route,
 )
 
 

@@ -7,6 +7,9 @@ A reader takes the last base and the later deltas and drops rows whose file a la
 so a refresh costs what changed and not what is stored. ``compact`` writes a new base, ``vacuum``
 deletes what no longer counts.
 
+Beside each base lies a narrow table of file keys and fingerprints, bucketed by file, to which the
+base and its deltas add theirs. Change detection joins a listing with it and never shuffles the index.
+
 One writer at a time is expected. Of two that commit the same version the second one fails and may
 try again on the new state.
 """
@@ -14,7 +17,7 @@ try again on the new state.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +29,12 @@ from sourcelode.schema import FILE_KEY, INDEX
 from sourcelode.session import broadcast_if_small, delete_folder, list_folders
 
 STORED = T.StructType([*INDEX.fields, T.StructField("seq", T.LongType())])
+KEYS = [*[INDEX[c] for c in (*FILE_KEY, "md5")], T.StructField("seq", T.LongType()), T.StructField("folder", T.StringType())]
 GONE = T.StructType([*[INDEX[c] for c in FILE_KEY], T.StructField("seq", T.LongType())])
-COMMIT = "kind string, folder string, n_gone bigint"
+COMMIT = "kind string, folder string, n_gone bigint, keys string, buckets int"
 BASE, DELTA = "base", "delta"
+#: Files in one bucket of the key table when it is laid out.
+BUCKET_FILES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -37,6 +43,8 @@ class Commit:
     kind: str
     folder: str
     n_gone: int
+    keys: str
+    buckets: int
 
 
 @dataclass
@@ -80,7 +88,7 @@ class IndexTable:
         """All commits, oldest first: one row each, and ``vacuum`` drops those before the last base."""
         found = _read(self.spark, f"{COMMIT}, version bigint", f"{self.path}/log")
         rows = found.where("folder is not null").collect() if found is not None else []
-        return sorted((Commit(r["version"], r["kind"], r["folder"], r["n_gone"]) for r in rows), key=lambda c: c.version)
+        return sorted((Commit(*(r[f.name] for f in fields(Commit))) for r in rows), key=lambda c: c.version)
 
     def live(self) -> list[Commit]:
         """The last base and the deltas after it."""
@@ -88,9 +96,9 @@ class IndexTable:
         first = max((i for i, c in enumerate(log) if c.kind == BASE), default=0)
         return log[first:]
 
-    def _commit(self, after: int, kind: str, folder: str, n_gone: int) -> None:
+    def _commit(self, after: int, kind: str, folder: str, n_gone: int, keys: str, buckets: int) -> None:
         version = after + 1
-        row = self.spark.createDataFrame([(kind, folder, n_gone)], COMMIT).coalesce(1)
+        row = self.spark.createDataFrame([(kind, folder, n_gone, keys, buckets)], COMMIT).coalesce(1)
         while True:
             try:
                 row.write.mode("error").parquet(f"{self.path}/log/version={version:012d}")
@@ -118,6 +126,31 @@ class IndexTable:
             stored = stored.join(broadcast_if_small(gone), FILE_KEY, "left").where(later)
         return stored.select(*INDEX.fieldNames())
 
+    def _key_table(self, keys: str, buckets: int) -> str:
+        """The name of a key table, made known to this session."""
+        name = f"index_keys_{keys.replace('-', '_')}"
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in KEYS)
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet"
+            f" CLUSTERED BY ({', '.join(FILE_KEY)}) SORTED BY ({', '.join(FILE_KEY)}) INTO {buckets} BUCKETS"
+            f" LOCATION '{self.path}/keys/{keys}'"
+        )
+        return name
+
+    def fingerprints(self) -> DataFrame:
+        """(project, file, md5) of every file in the newest state, from the key table; bucketed by file."""
+        live = self.live()
+        table = self._key_table(live[-1].keys, live[-1].buckets)
+        self.spark.catalog.refreshTable(table)
+        held = self.spark.table(table).where(F.col("folder").isin(*[c.folder for c in live]))
+        last = F.max_by("md5", F.struct("seq", F.col("md5").isNotNull()))
+        return held.groupBy(*FILE_KEY).agg(last.alias("md5")).where("md5 is not null")
+
+    def changed(self, files: DataFrame) -> DataFrame:
+        """The files (project, file, md5), new or altered, that the newest state doesn't hold."""
+        held = self.fingerprints().withColumnRenamed("md5", "held_md5")
+        return files.join(held, FILE_KEY, "left").where(~F.col("md5").eqNullSafe(F.col("held_md5"))).drop("held_md5")
+
     # ---- writing --------------------------------------------------------------------------------
 
     def check(self, rows: DataFrame) -> DataFrame:
@@ -136,11 +169,19 @@ class IndexTable:
         place = f"{self.path}/data/{folder}"
         rows = self.spark.createDataFrame([], INDEX) if rows is None else rows
         rows.select("*", seq).write.parquet(f"{place}/rows")
+        keys = self.spark.read.schema(STORED).parquet(f"{place}/rows").where("kind_rank = 0").select(*FILE_KEY, "md5", "seq")
         n_gone = 0
         if gone is not None:
             gone.select(*FILE_KEY).distinct().select("*", seq).write.parquet(f"{place}/gone")
-            n_gone = self.spark.read.schema(GONE).parquet(f"{place}/gone").count()
-        self._commit(after, kind, folder, n_gone)
+            dropped = self.spark.read.schema(GONE).parquet(f"{place}/gone")
+            n_gone = dropped.count()
+            keys = keys.unionByName(dropped, allowMissingColumns=True)
+        base = log[-1] if log and kind == DELTA else None
+        held = (base.keys, base.buckets) if base else (folder, self.buckets or 1 << (keys.count() // BUCKET_FILES).bit_length())
+        spread = keys.repartition(held[1], *FILE_KEY) if kind == BASE else keys.repartition(*FILE_KEY)
+        writer = spread.withColumn("folder", F.lit(folder)).write.mode("append").bucketBy(held[1], *FILE_KEY)
+        writer.sortBy(*FILE_KEY).saveAsTable(self._key_table(*held))
+        self._commit(after, kind, folder, n_gone, *held)
 
     def append(self, rows: DataFrame) -> None:
         self._write(DELTA, self.check(rows))
@@ -178,6 +219,10 @@ class IndexTable:
         dropped = [f for f in list_folders(self.spark, f"{self.path}/data") if f not in kept]
         for folder in dropped:
             delete_folder(self.spark, f"{self.path}/data/{folder}")
+        for keys in list_folders(self.spark, f"{self.path}/keys"):
+            if keys != live[-1].keys:
+                self.spark.sql(f"DROP TABLE IF EXISTS index_keys_{keys.replace('-', '_')}")
+                delete_folder(self.spark, f"{self.path}/keys/{keys}")
         for commit in self.log():
             if commit.version < live[0].version:
                 delete_folder(self.spark, f"{self.path}/log/version={commit.version:012d}")

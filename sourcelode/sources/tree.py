@@ -7,16 +7,16 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcelode.catalogs import IgnoreRules, extension_frame
 from sourcelode.functions.text import decode_ok, decode_text, fingerprint
-from sourcelode.operators.filters import ignored, known_extensions_only, tag_language
+from sourcelode.operators.filters import ignored, known_extensions_only, rooted, tag_language
 from sourcelode.session import checkpoint
 
 LIST_ROWS = 10_000
@@ -92,23 +92,36 @@ def list_tree(spark: SparkSession, projects: DataFrame, rules: IgnoreRules | Non
     """Walk ``(project, root)`` rows. Each level is one Spark job over its folders.
 
     A rejected folder is not entered, and a folder reached twice through links is entered once.
+    Rules that are paths, absolute or below the root, are compared with every entry's canonical path.
     """
     rules = rules or IgnoreRules()
+    listed = rooted([*rules.directories, *rules.files])
 
     @F.pandas_udf("string")
     def real_path(path: pd.Series) -> pd.Series:
         return path.map(os.path.realpath)
 
+    below = replace(rules, **{side: [w for w in getattr(rules, side) if not w.startswith("/")] for side in ("directories", "files")})
+    canonical = spark.createDataFrame([(p,) for p in listed], "path string").select(real_path("path").alias("path"))
+    barred = [row["path"] for row in canonical.collect()] if listed else []  # as many as the rules name
+
+    inner = [w.strip("/") for w in (*below.directories, *below.files) if "/" in w]
+
+    def rejected() -> Column:
+        here = [F.lit(path) for path in barred] + [F.concat("root", F.lit(f"/{path}")) for path in inner]
+        broken = ignored(F.col("rel_path"), below)
+        return broken | F.col("file").isin(*here) if here else broken
+
     level = checkpoint(
         projects.select(
-            "project", "root", F.lit("").alias("rel_path"), F.col("root").alias("name"), real_path("root").alias("file")
+            "project", real_path("root").alias("root"), F.lit("").alias("rel_path"), F.col("root").alias("name"), real_path("root").alias("file")
         )
     )
     entered, found = [level.select("project", "file")], []
     while not level.isEmpty():
         spread = level.repartition("project", "file")
-        listed = checkpoint(spread.mapInPandas(_list_folders, ENTRIES))
-        kept = listed.where(F.col("problem").isNotNull() | ~ignored(F.col("rel_path"), rules))
+        entries = checkpoint(spread.mapInPandas(_list_folders, ENTRIES))
+        kept = entries.where(F.col("problem").isNotNull() | ~rejected())
         found.append(kept)
         seen = reduce(DataFrame.unionByName, entered)
         folders = kept.where(F.col("is_dir") & F.col("problem").isNull())

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sourcelode.operators.changes import changed_files
 from sourcelode.schema import INDEX
 from sourcelode.session import list_folders
 from sourcelode.sources.index_table import IndexTable
@@ -75,7 +76,7 @@ def test_the_second_of_two_writers_fails(spark, index):
     after = index.log()[-1].version
     other.append(rows(spark, "a"))
     with pytest.raises(RuntimeError, match="another writer"):
-        index._commit(after, "delta", "nowhere", 0)
+        index._commit(after, "delta", "nowhere", 0, "", 1)
     assert state(index) == [("a", "p")]
 
 
@@ -97,13 +98,33 @@ def test_an_index_of_another_width_is_not_opened(spark, index):
         IndexTable.open(spark, index.path, 3)
 
 
-def test_change_detection_reads_no_texts(spark, index):
-    from sourcelode.operators.changes import changed_files
-
-    index.append(rows(spark, "a", "b"))
-    index.replace(rows(spark, "b", purpose="n"), keys(spark, "b"))
-    listing = spark.createDataFrame([("p", "a", "ma"), ("p", "b", "other"), ("p", "c", "mc")], "project string, file string, md5 string")
-    changed = changed_files(listing, index.rows())
-    assert sorted(r["file"] for r in changed.collect()) == ["b", "c"]
-    plan = changed._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("buckets", [None, 4])
+def test_change_detection_shuffles_no_index(spark, tmp_path, buckets):
+    index = IndexTable.open(spark, str(tmp_path / "index"), 2, buckets)
+    index.append(rows(spark, "a", "b", "d", "e"))
+    index.replace(rows(spark, "b", purpose="n").withColumn("md5", F.lit("new")), keys(spark, "b", "d"))
+    listed = [("p", "a", "ma"), ("p", "b", "mb"), ("p", "c", "mc"), ("p", "d", "md"), ("p", "e", None)]
+    listing = spark.createDataFrame(listed, "project string, file string, md5 string")
+
+    def found(df):
+        return sorted(r["file"] for r in df.collect())
+
+    again = IndexTable.open(spark, index.path, 2)
+    assert found(again.changed(listing)) == ["b", "c", "d", "e"]
+    assert found(again.changed(spark.createDataFrame([("p", "b", "new")], listing.schema))) == []
+    assert found(changed_files(listing, again.rows())) == ["b", "c", "d", "e"]
+    again.compact()
+    assert found(index.changed(listing)) == ["b", "c", "d", "e"]
+    again.vacuum()
+    assert found(index.changed(listing)) == ["b", "c", "d", "e"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = index.changed(listing)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "embedding" not in plan and "content" not in plan
+    if buckets:
+        held = plan[plan.index("index_keys_") - 2000 :] if "index_keys_" in plan else plan
+        assert "Bucketed: true" in held and plan.count("Exchange") == 1, plan
