@@ -19,8 +19,18 @@ from sourcelode.llm.toxicity import train, with_toxicity
 from sourcelode.session import broadcast_if_small
 
 
+#: Rows that go to a Python worker at once. Texts may be long, and the stages share the workers.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what executors hold of texts on their way to Python, for all that this session runs."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier rejects."""
+    small_batches(spark)
     held_out = F.coalesce(crc_remainder(3) == 1, F.lit(False))
     classifier = train(docs, table(spark, sf_dir, "labels"), ~held_out)
     name = free_name(docs.columns, "toxicity")
@@ -29,11 +39,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that repeat an earlier one, and documents of which nothing else is left."""
+    small_batches(spark)
     return dedup_lines(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least id, of each group of near copies."""
+    small_batches(spark)
     groups = jaccard_groups(docs.select("doc_id", "text"))
     copies = groups.where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(broadcast_if_small(settled(copies, "copies")), "doc_id", "left_anti").select(*docs.columns)
@@ -41,6 +53,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 1024 tokens."""
+    small_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.json")
     return pack(settled(encode_pieces(docs, path, END_OF_DOCUMENT), "pieces"))
 
@@ -52,7 +65,8 @@ STAGES = [
     ("best_fit_packing", pack_documents),
 ]
 
-#: Model training, components and packing are beyond one SQL statement; tests use brute force.
+#: Model training, components and packing are beyond one SQL statement; a test compares the stages' results
+#: with plain versions of what each has to keep.
 ORACLE_SQL = None
 
 
