@@ -133,7 +133,7 @@ class IndexTable:
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet"
             f" CLUSTERED BY ({', '.join(FILE_KEY)}) SORTED BY ({', '.join(FILE_KEY)}) INTO {buckets} BUCKETS"
-            f" LOCATION '{self.path}/keys/{keys}'"
+            f" LOCATION '{_quoted(f'{self.path}/keys/{keys}')}'"
         )
         return name
 
@@ -229,6 +229,10 @@ class IndexTable:
         return len(dropped)
 
 
+def _quoted(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def _read(spark: SparkSession, schema: str, path: str) -> DataFrame | None:
     """The table at ``path``, or None where there is no such folder."""
     try:
