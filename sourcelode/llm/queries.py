@@ -226,6 +226,31 @@ ORACLE: dict[str, str] = {
         FROM embeddings e JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) c ON c.a = e.vec_id
         LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id
     """,
+    "op7_ngram_join": r"""
+        WITH RECURSIVE doc AS (
+            SELECT row_number() OVER () AS row, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x{20}\x{09}-\x{0D}]+') AS w
+            FROM documents
+        ), shingle AS (
+            SELECT DISTINCT row, array_to_string(w[s : s + 3], ' ') AS words
+            FROM (SELECT row, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS s FROM doc WHERE len(w) > 0)
+        ), size AS (
+            SELECT row, count(*) AS n FROM shingle GROUP BY row
+        ), shared AS (
+            SELECT a.row AS x, b.row AS y, count(*) AS n FROM shingle a JOIN shingle b ON a.words = b.words AND a.row < b.row GROUP BY ALL
+        ), link AS (
+            SELECT d.doc_id AS a, e.doc_id AS b FROM shared JOIN size s ON s.row = x JOIN size t ON t.row = y
+            JOIN doc d ON d.row = x JOIN doc e ON e.row = y WHERE 100 * shared.n >= 85 * (s.n + t.n - shared.n)
+        ), edge AS (
+            SELECT a, b FROM link UNION SELECT b, a FROM link
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a
+        )
+        SELECT doc_id, coalesce(size.n, 0) AS n_shingles, least AS component_id
+        FROM doc LEFT JOIN size USING (row) JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) ON a = doc_id
+    """,
     "op12_decontamination": r"""
         WITH item AS (
             SELECT item_id, regexp_extract_all(replace_az, '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w
