@@ -1,4 +1,4 @@
-"""Line dedup by a segment-partition edit join, in DataFrame operations only.
+"""Line dedup by a segment-partition edit join.
 
 Lines that are equal are one. Two different lines within ``edits`` edits share a segment: if one of
 them is cut into edits + 1 segments of nearly equal length, one segment is untouched by the edits and
@@ -10,8 +10,17 @@ differences between neighbouring cells of the band are the bits of two integers,
 character at a time.
 
 Groups are handled without their square: first each key ties its probes to one indexed line; only
-lines that then stand in different components are compared with each other. Pairs of which too many
-characters differ in the parity of their number are never verified, nor do they leave the join.
+lines that then stand in different components are compared with each other, pair by pair under keys of
+``CROWD`` rows at most. Pairs of which too many characters differ in the parity of their number are
+never verified, nor do they leave the join.
+
+Lines under fuller keys are not paired. Of two lines within ``edits``, an edit can be put where they
+first differ, and so the next one. Each group of strings has a pivot; of two strings that leave it at
+different places, the earlier one to leave differs from the other right there, where the other has the
+pivot's character. So each string is copied with that one place corrected towards the pivot (replaced,
+deleted or inserted), and strings that leave the pivot at one place are a group of their own in the
+next round. Copies are corrected again, read backwards; two lines are near when copies of them are
+equal, and one tie to the copy's least line serves for all.
 
 A line is dropped when it is not the first of its component, in the order of document and line number.
 
@@ -24,6 +33,10 @@ line feeds. A line is known by a 64-bit hash and its length.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +46,10 @@ from sourcelode.session import broadcast_if_small
 
 EDITS = 2
 LEAST_CHARS = 20
+#: Rows of a key that are compared pair by pair, at most.
+CROWD = 16
+#: Characters of a group of strings that one task takes through all rounds, at most; fuller ones take each round apart.
+TASK_CHARS = 1 << 22
 
 
 def segment(n: Column, number: int, edits: int) -> tuple[Column, Column]:
@@ -166,6 +183,100 @@ def _verify(pairs: DataFrame, contents: DataFrame, edits: int) -> DataFrame:
     return settled(both.where(F.expr(within_edits(edits))).select("a", "b"), "links")
 
 
+def leaves(text: str, pivot: str) -> Column:
+    """The number of characters that two columns share from the start on, in steps of halves."""
+    step = f"at + step <= least(char_length({text}), char_length({pivot}))"
+    same = f"substring({text}, at + 1, step) = substring({pivot}, at + 1, step)"
+    steps = "transform(sequence(0, 29), k -> shiftleft(1, 29 - k))"
+    return F.expr(f"aggregate({steps}, 0, (at, step) -> if({step} and {same}, at + step, at))")
+
+
+def _pivots(rows: DataFrame) -> DataFrame:
+    """(grp, pivot, large): of the groups with different texts, the text of the least hash, and whether they go on in rounds."""
+    code = F.xxhash64("text")
+    large = F.sum(F.char_length("text").cast("long")) > TASK_CHARS
+    found = rows.groupBy("grp").agg(
+        F.min(code).alias("x"), F.max(code).alias("y"), F.min_by("text", code).alias("pivot"), large.alias("large")
+    )
+    return found.where("x != y").select("grp", "pivot", "large")
+
+
+def _shared(x: str, y: str) -> int:
+    """The number of characters that two strings share from the start on."""
+    low, high = 0, min(len(x), len(y))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if x[low:middle] == y[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def _all_rounds(frame: pd.DataFrame) -> pd.DataFrame:
+    """All rounds of one small group: its rows, once per pivot that they leave, with the place and the pivot's character."""
+    number, texts = pd.factorize(frame["text"], sort=True)
+    waiting, left = [range(len(texts))], []
+    while waiting:
+        group = waiting.pop()
+        middle, places = group[len(group) // 2], defaultdict(list)
+        for i in group:
+            if i != middle:
+                at = _shared(texts[i], texts[middle])
+                places[at].append(i)
+                left.append((i, at, texts[middle][at : at + 1]))
+        waiting += places.values()
+    found = pd.DataFrame(left, columns=["number", "at", "next"]).astype({"number": number.dtype, "at": "int32"})
+    return frame.drop(columns="grp").assign(number=number).merge(found, on="number").drop(columns="number")
+
+
+def _corrected(rows: DataFrame) -> list[DataFrame]:
+    """Copies of ``rows`` (home, lid, spent, text) with one more edit spent, at the places where they leave pivots."""
+    made, names = [], ["home", "lid", "spent", "text"]
+    rows = rows.select(*names, F.col("home").alias("grp"))
+    copies = [
+        "concat(substring(text, 1, at), next, substring(text, at + 2))",
+        "concat(substring(text, 1, at), substring(text, at + 2))",
+        "concat(substring(text, 1, at), next, substring(text, at + 1))",
+    ]
+
+    def copied(left: DataFrame) -> DataFrame:
+        texts = F.explode(F.array_distinct(F.array(*(F.expr(c) for c in copies))))
+        return left.select("home", "lid", (F.col("spent") + 1).alias("spent"), texts.alias("text"))
+
+    while True:
+        pivots = settled(_pivots(rows), "pivots")
+        n = pivots.agg(F.count_if(F.col("large")).alias("large"), F.count(F.lit(1)).alias("all")).first()
+        if n["all"] > n["large"]:
+            small = rows.join(broadcast_if_small(pivots.where("not large").select("grp")), "grp", "left_semi")
+            shape = "home bigint, lid bigint, spent int, text string, at int, next string"
+            made.append(copied(settled(small.select(*names, "grp").groupBy("grp").applyInPandas(_all_rounds, shape), "left")))
+        if not n["large"]:
+            return made
+        left = rows.join(broadcast_if_small(pivots.where("large").drop("large")), "grp").where("text != pivot")
+        left = left.withColumn("at", leaves("text", "pivot")).withColumn("next", F.expr("substring(pivot, at + 1, 1)"))
+        left = settled(left.drop("pivot"), "left")
+        made.append(copied(left))
+        rows = left.select(*names, F.xxhash64("grp", "at", F.lit(len(made))).alias("grp"))
+
+
+def _crowd_pairs(rows: DataFrame, contents: DataFrame, edits: int) -> DataFrame:
+    """Pairs (a, b) that tie together the lines which share keys in ``rows`` (key, lid) and are near."""
+    hubs = broadcast_if_small(settled(rows.groupBy("key").agg(F.min("lid").alias("a")), "hubs"))
+    homes = components(rows.join(hubs, "key").select("a", F.col("lid").alias("b")))
+    held = homes.select(F.col("component").alias("home"), F.col("node").alias("lid"), F.lit(0).alias("spent"))
+    held = settled(held.join(contents.select("lid", F.col("line").alias("text")), "lid"), "copies")
+    for spent in range(1, edits + 1):
+        every = reduce(DataFrame.unionByName, _corrected(held), held)
+        if spent < edits:
+            every = every.groupBy("home", "lid", F.reverse("text").alias("text")).agg(F.min("spent").alias("spent"))
+            held = settled(every, "copies")
+    codes = settled(every.groupBy(F.xxhash64("text").alias("code"), "lid").agg(F.min("spent").alias("spent")), "codes")
+    ties = codes.groupBy("code").agg(F.min(F.struct("spent", "lid")).alias("hub"), F.count(F.lit(1)).alias("n"))
+    ties = broadcast_if_small(settled(ties.where("n > 1").select("code", "hub.*").toDF("code", "before", "a"), "ties"))
+    return _pairs(codes.join(ties, "code").where(F.col("spent") + F.col("before") <= edits).select("a", F.col("lid").alias("b")))
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
     return rows.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -183,12 +294,17 @@ def line_groups(documents: DataFrame, edits: int = EDITS, least_chars: int = LEA
     marked = live.join(found.withColumnRenamed("node", "lid"), "lid", "left").select(
         "key", "lid", "indexed", F.coalesce("component", "lid").alias("part")
     )
-    mixed = marked.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y")
-    open_ = marked.join(mixed.select("key"), "key", "left_semi")
+    sizes = F.min("part").alias("x"), F.max("part").alias("y"), (F.count(F.lit(1)) > CROWD).alias("crowded")
+    mixed = marked.groupBy("key").agg(*sizes).where("x != y")
+    open_ = marked.join(mixed.select("key", "crowded"), "key")
     open_ = settled(open_.join(contents.select("lid", "odd"), "lid"), "open")
-    i, p = open_.where("indexed").alias("i"), open_.where(~F.col("indexed")).alias("p")
+    few = open_.where("not crowded")
+    i, p = few.where("indexed").alias("i"), few.where("not indexed").alias("p")
     apart = F.expr("i.key = p.key and i.part != p.part") & perhaps_near(F.col("i.odd"), F.col("p.odd"), edits)
     far = i.join(p, apart).select(F.col("i.lid").alias("a"), F.col("p.lid").alias("b"))
+    crowd = open_.where("crowded").select("key", "lid").distinct()
+    if not crowd.isEmpty():
+        far = far.unionByName(_crowd_pairs(crowd, contents, edits))
     far = settled(_pairs(far).join(near, ["a", "b"], "left_anti"), "pairs")
     more = _verify(far, contents, edits)
     return components(links.unionByName(more)).withColumnRenamed("node", "lid")

@@ -272,3 +272,54 @@ def test_parities_never_part_near_lines(spark):
         rows.append((line, "".join(other)))
     marked = spark.createDataFrame(rows, "x string, y string").select(parities("x").alias("p"), parities("y").alias("q"))
     assert marked.where(~perhaps_near(F.col("p"), F.col("q"), 2)).count() == 0
+
+
+def distance_within(x: str, y: str, edits: int) -> bool:
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1] <= edits
+
+
+@pytest.mark.parametrize(("seed", "task_chars"), [(21, 1 << 22), (22, 30_000)])
+def test_crowded_keys_give_all_groups_without_all_pairs(spark, monkeypatch, seed, task_chars):
+    from sourcelode.llm import line_dedup
+
+    pick, lines = random.Random(seed), set()
+    for base in ("the quick brown fox jumps over a lazy dog é", "aaaaaaaaaaaaaaaaaaaaaaaaabaaaa"):
+        lines.add(base)
+        for _ in range(50):
+            line, at = base, pick.randint(0, len(base))
+            line = line[:at] + "".join(pick.choice("xxyy") for _ in range(4)) + line[at:] if pick.random() < 0.7 else line
+            for _ in range(pick.randint(0, 3)):
+                at = pick.randint(0, len(line))
+                line = line[:at] + pick.choice(["", "x", "é", "a"]) + line[at + pick.randint(0, 1) :]
+            lines.add(line)
+    lines = sorted(x for x in lines if len(x) >= 20)
+    part = list(range(len(lines)))
+    for i, x in enumerate(lines):
+        for j in range(i):
+            if part[i] != part[j] and abs(len(x) - len(lines[j])) <= 2 and distance_within(x, lines[j], 2):
+                part = [part[i] if k == part[j] else k for k in part]
+    expected = {}
+    for line, k in zip(lines, part):
+        expected.setdefault(k, set()).add(line)
+
+    written = []
+
+    def spy(df, label, frees=False):
+        written.append((label, settled(df, label, frees)))
+        return written[-1][1]
+
+    monkeypatch.setattr(line_dedup, "settled", spy)
+    monkeypatch.setattr(line_dedup, "TASK_CHARS", task_chars, raising=False)
+    df = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id bigint, text string")
+    ids = {r["lid"]: r["text"] for r in df.selectExpr("xxhash64(text) as lid", "text").collect()}
+    found = {}
+    for row in line_dedup.line_groups(df).collect():
+        found.setdefault(row["component"], set()).add(ids[row["lid"]])
+    assert sorted(map(sorted, found.values())) == sorted(sorted(x) for x in expected.values() if len(x) > 1)
+    pairs = [df.count() for label, df in written if label == "pairs"]
+    assert len(pairs) == 2 and pairs[1] < 2 * len(lines)
