@@ -2,7 +2,8 @@
 
 Each folder right below ``path`` is a project. Planning walks the tree from the top, only until there
 are ``folders`` pieces of work: what it has walked through are single folders, what it has not reached
-are whole subtrees, and tasks list and read both. Rejected folders are never entered. A link that
+are whole subtrees, folders with very many others in them are dealt out in shares by name, and tasks list
+and read all of these. Rejected folders are never entered. A link that
 leads to a place inside its own project is left to that place; other links are followed, and a subtree
 is entered once per task. What can't be listed or read is a row with a ``problem``.
 
@@ -18,8 +19,11 @@ from __future__ import annotations
 import json
 import os
 import time
+import zlib
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,12 +54,14 @@ SCHEMA = (
 
 @dataclass
 class Piece(InputPartition):
-    """A folder of a project to read, with all below it when ``deep``, for a span of change times."""
+    """A folder of a project to read, or a share of it, with all below when ``deep``, for a span of change times."""
 
     project: str
     rel_path: str
     deep: bool
     span: tuple[int, int] = FOREVER
+    #: Which of how many shares of the folder's own entries, dealt by their names.
+    share: tuple[int, int] = (0, 1)
 
 
 class Tree:
@@ -78,16 +84,21 @@ class Tree:
         known = name in self.names or rel in self.paths or real in self.barred
         return known or name.startswith(self.prefixes) or name.endswith(self.suffixes)
 
-    def scan(self, project: str, rel: str) -> Iterator[tuple[str, str, str, bool, str | None]]:
-        """(rel_path, path, canonical path, is a folder, problem) of what counts in a folder."""
+    def scan(
+        self, project: str, rel: str, share: tuple[int, int] = (0, 1)
+    ) -> Iterator[tuple[str, str, str, bool, str | None]]:
+        """(rel_path, path, canonical path, is a folder, problem) of what counts in a folder, or in a share of it."""
         home = os.path.realpath(os.path.join(self.root, project))
         folder = os.path.join(self.root, project, rel) if rel else os.path.join(self.root, project)
         try:
             entries = list(os.scandir(folder))
         except OSError as problem:
-            yield rel, folder, folder, True, f"{type(problem).__name__}: {problem.strerror}"
+            if share[0] == 0:
+                yield rel, folder, folder, True, f"{type(problem).__name__}: {problem.strerror}"
             return
         for entry in entries:
+            if share[1] > 1 and zlib.crc32(os.fsencode(entry.name)) % share[1] != share[0]:
+                continue
             below = f"{rel}/{entry.name}" if rel else entry.name
             try:
                 entry.path.encode()
@@ -101,27 +112,37 @@ class Tree:
                 yield below, entry.path, entry.path, False, f"{type(problem).__name__}: {problem.strerror}"
 
     def plan(self, span: tuple[int, int] = FOREVER) -> list[Piece]:
-        """Pieces of work: folders from the top down, whole subtrees once there are enough."""
+        """Pieces of work: folders from the top down, whole subtrees once there are enough.
+
+        A folder with more than ``folders`` folders in it is not walked through: tasks share its entries.
+        """
         with os.scandir(self.root) as entries:
-            waiting = [(e.name, "") for e in entries if e.is_dir()]
-        pieces = []
-        while waiting and len(waiting) + len(pieces) < self.folders:
-            project, rel = waiting.pop(0)
-            pieces.append(Piece(project, rel, False, span))
-            waiting += [(project, below) for below, _, _, is_dir, problem in self.scan(project, rel) if is_dir and not problem]
-        return pieces + [Piece(project, rel, True, span) for project, rel in waiting]
+            waiting = deque((e.name, "") for e in entries if e.is_dir())
+        pieces, wide = [], []
+        while waiting and len(waiting) + len(pieces) + len(wide) < self.folders:
+            project, rel = waiting.popleft()
+            inside = (below for below, _, _, is_dir, problem in self.scan(project, rel) if is_dir and not problem)
+            inside = list(islice(inside, self.folders + 1))
+            if len(inside) > self.folders:
+                wide.append((project, rel))
+            else:
+                pieces.append(Piece(project, rel, False, span))
+                waiting.extend((project, below) for below in inside)
+        pieces += [Piece(project, rel, True, span) for project, rel in waiting]
+        shares = -(-self.folders // max(1, len(wide)))
+        return pieces + [Piece(project, rel, True, span, (i, shares)) for project, rel in wide for i in range(shares)]
 
     def read(self, piece: Piece) -> Iterator[tuple]:
-        waiting, entered = [piece.rel_path], set()
+        waiting, entered = [(piece.rel_path, piece.share)], set()
         while waiting:
-            for rel, path, real, is_dir, problem in self.scan(piece.project, waiting.pop()):
+            for rel, path, real, is_dir, problem in self.scan(piece.project, *waiting.pop()):
                 if problem:
                     yield piece.project, rel, path, real, None, None, problem
                 elif not is_dir:
                     yield from self._file(piece, rel, path, real)
                 elif piece.deep and real not in entered:
                     entered.add(real)
-                    waiting.append(rel)
+                    waiting.append((rel, (0, 1)))
 
     @staticmethod
     def _file(piece: Piece, rel: str, path: str, real: str) -> Iterator[tuple]:

@@ -111,3 +111,18 @@ def test_streamed_and_batch_refreshes_end_alike(spark, root):
     (root / "q/a.py").unlink()
     report = refresh_index(batch, read_tree(spark, str(root), RULES), LOCAL, prune=True)
     assert report.removed == 1 and not [r for r in state(batch) if r[1].endswith("q/a.py")]
+
+
+def test_a_wide_project_is_shared_out_evenly(tmp_path):
+    for project, n in (("wide", 300), ("broad", 200), ("flat", 2)):
+        for i in range(n):
+            folder = tmp_path / project / f"m{i}" / "src"
+            folder.mkdir(parents=True)
+            (folder / "a.py").write_text(f"{project}{i}")
+        (tmp_path / project / "top.py").write_text(project)
+    tree = Tree({"path": str(tmp_path), "folders": "16"})
+    pieces = tree.plan()
+    read = [[row[3] for row in tree.read(piece)] for piece in pieces]
+    every = [path for paths in read for path in paths]
+    assert len(every) == len(set(every)) == 505
+    assert len(pieces) <= 3 * 16 and max(map(len, read)) < 60
