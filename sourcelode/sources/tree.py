@@ -20,7 +20,8 @@ from sourcelode.operators.filters import ignored, known_extensions_only, rooted,
 from sourcelode.session import checkpoint
 
 LIST_ROWS = 10_000
-READ_BYTES = 32 * 1024 * 1024
+#: Bytes of files that a task holds before it passes them on.
+READ_BYTES = 4 * 1024 * 1024
 
 ENTRIES = "project string, root string, rel_path string, name string, file string, is_dir boolean, problem string"
 

@@ -113,6 +113,19 @@ def test_streamed_and_batch_refreshes_end_alike(spark, root):
     assert report.removed == 1 and not [r for r in state(batch) if r[1].endswith("q/a.py")]
 
 
+def test_reading_passes_on_a_few_megabytes_at_once(tmp_path):
+    import pandas as pd
+
+    from sourcelode.sources.tree import _read_files
+
+    paths = [tmp_path / f"{i}.py" for i in range(12)]
+    for path in paths:
+        path.write_bytes(b"x" * (1 << 20))
+    parts = list(_read_files(iter([pd.DataFrame({"file": [str(path) for path in paths]})])))
+    assert [len(data) for part in parts for data in part["bytes"]] == [1 << 20] * 12
+    assert max(sum(len(data) for data in part["bytes"]) for part in parts) <= 5 << 20
+
+
 def test_a_wide_project_is_shared_out_evenly(tmp_path):
     for project, n in (("wide", 300), ("broad", 200), ("flat", 2)):
         for i in range(n):
