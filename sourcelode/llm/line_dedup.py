@@ -14,13 +14,15 @@ lines that then stand in different components are compared with each other, pair
 ``CROWD`` rows at most. Pairs of which too many characters differ in the parity of their number are
 never verified, nor do they leave the join.
 
-Lines under fuller keys are not paired. Of two lines within ``edits``, an edit can be put where they
-first differ, and so the next one. Each group of strings has a pivot; of two strings that leave it at
-different places, the earlier one to leave differs from the other right there, where the other has the
-pivot's character. So each string is copied with that one place corrected towards the pivot (replaced,
-deleted or inserted), and strings that leave the pivot at one place are a group of their own in the
-next round. Copies are corrected again, read backwards; two lines are near when copies of them are
-equal, and one tie to the copy's least line serves for all.
+Lines under fuller keys are put in groups and not paired (for up to two edits; for more they are). A
+group has a pivot for beginnings and one for ends, and each line a place where it leaves either. Two
+lines that leave the first pivot at different places, or there with different characters, first differ
+at the earlier place, where the line that stays has the pivot's character; so it is with ends. What is
+left of two near lines without their common beginning and end starts and ends with an edit, so one edit
+at each of the two places makes them equal: copies of every line with an edit at its own places, towards
+the pivots, meet by equality, and one tie to the copy's least line serves for all. Lines that leave a
+pivot at one place with one character are a group of their own in the next round, and the pivot is in
+none of these; groups of ``GROUP`` lines at most are compared pair by pair.
 
 A line is dropped when it is not the first of its component, in the order of document and line number.
 
@@ -33,10 +35,8 @@ line feeds. A line is known by a 64-bit hash and its length.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +48,12 @@ EDITS = 2
 LEAST_CHARS = 20
 #: Rows of a key that are compared pair by pair, at most.
 CROWD = 16
-#: Characters of a group of strings that one task takes through all rounds, at most; fuller ones take each round apart.
-TASK_CHARS = 1 << 22
+#: Lines of a group that are compared pair by pair, at most.
+GROUP = 16
+#: Lines of a group among which its pivots are chosen.
+CHOICE = 8
+#: Edits for which lines under fuller keys meet by copies.
+COPY_EDITS = 2
 
 
 def segment(n: Column, number: int, edits: int) -> tuple[Column, Column]:
@@ -183,98 +187,117 @@ def _verify(pairs: DataFrame, contents: DataFrame, edits: int) -> DataFrame:
     return settled(both.where(F.expr(within_edits(edits))).select("a", "b"), "links")
 
 
-def leaves(text: str, pivot: str) -> Column:
-    """The number of characters that two columns share from the start on, in steps of halves."""
-    step = f"at + step <= least(char_length({text}), char_length({pivot}))"
-    same = f"substring({text}, at + 1, step) = substring({pivot}, at + 1, step)"
+def shared(x: str, y: str) -> str:
+    """SQL: the number of characters that two strings share from the start on, in steps of halves."""
+    step = f"at + step <= least(char_length({x}), char_length({y}))"
+    same = f"substring({x}, at + 1, step) = substring({y}, at + 1, step)"
     steps = "transform(sequence(0, 29), k -> shiftleft(1, 29 - k))"
-    return F.expr(f"aggregate({steps}, 0, (at, step) -> if({step} and {same}, at + step, at))")
+    return f"aggregate({steps}, 0, (at, step) -> if({step} and {same}, at + step, at))"
 
 
 def _pivots(rows: DataFrame) -> DataFrame:
-    """(grp, pivot, large): of the groups with different texts, the text of the least hash, and whether they go on in rounds."""
-    code = F.xxhash64("text")
-    large = F.sum(F.char_length("text").cast("long")) > TASK_CHARS
-    found = rows.groupBy("grp").agg(
-        F.min(code).alias("x"), F.max(code).alias("y"), F.min_by("text", code).alias("pivot"), large.alias("large")
-    )
-    return found.where("x != y").select("grp", "pivot", "large")
-
-
-def _shared(x: str, y: str) -> int:
-    """The number of characters that two strings share from the start on."""
-    low, high = 0, min(len(x), len(y))
-    while low < high:
-        middle = (low + high + 1) // 2
-        if x[low:middle] == y[low:middle]:
-            low = middle
-        else:
-            high = middle - 1
-    return low
-
-
-def _all_rounds(frame: pd.DataFrame) -> pd.DataFrame:
-    """All rounds of one small group: its rows, once per pivot that they leave, with the place and the pivot's character."""
-    number, texts = pd.factorize(frame["text"], sort=True)
-    waiting, left = [range(len(texts))], []
-    while waiting:
-        group = waiting.pop()
-        middle, places = group[len(group) // 2], defaultdict(list)
-        for i in group:
-            if i != middle:
-                at = _shared(texts[i], texts[middle])
-                places[at].append(i)
-                left.append((i, at, texts[middle][at : at + 1]))
-        waiting += places.values()
-    found = pd.DataFrame(left, columns=["number", "at", "next"]).astype({"number": number.dtype, "at": "int32"})
-    return frame.drop(columns="grp").assign(number=number).merge(found, on="number").drop(columns="number")
-
-
-def _corrected(rows: DataFrame) -> list[DataFrame]:
-    """Copies of ``rows`` (home, lid, spent, text) with one more edit spent, at the places where they leave pivots."""
-    made, names = [], ["home", "lid", "spent", "text"]
-    rows = rows.select(*names, F.col("home").alias("grp"))
-    copies = [
-        "concat(substring(text, 1, at), next, substring(text, at + 2))",
-        "concat(substring(text, 1, at), substring(text, at + 2))",
-        "concat(substring(text, 1, at), next, substring(text, at + 1))",
-    ]
-
-    def copied(left: DataFrame) -> DataFrame:
-        texts = F.explode(F.array_distinct(F.array(*(F.expr(c) for c in copies))))
-        return left.select("home", "lid", (F.col("spent") + 1).alias("spent"), texts.alias("text"))
+    """(grp, first, last): per group, of some of its lines the one that shares most with the others, from its start and from its end."""
+    some = F.array(*(F.min_by("text", F.xxhash64("lid", F.lit(i))) for i in range(CHOICE)))
+    chosen = rows.groupBy("grp").agg(F.array_distinct(some).alias("some"))
+
+    def most_shared(texts: str) -> Column:
+        score = f"aggregate({texts}, 0, (sum, u) -> sum + {shared('t', 'u')})"
+        return F.expr(f"array_max(transform({texts}, t -> struct({score}, t))).t")
+
+    first, last = most_shared("some"), F.reverse(most_shared("transform(some, t -> reverse(t))"))
+    return chosen.select("grp", first.alias("first"), last.alias("last"))
+
 
+def _placed(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """``rows`` with the numbers of characters shared with the pivots (``at``, ``until``), the pivots' characters
+    there (``ahead``: two), and whether a row is a pivot."""
+    both = rows.join(pivots, "grp")
+    both = both.withColumns({"at": F.expr(shared("text", "first")), "until": F.expr(shared("reverse(text)", "reverse(last)"))})
+    left = F.char_length("last") - F.col("until")
+    return both.withColumns({
+        "ahead": F.expr("substring(first, at + 1, 2)"),
+        "behind": F.when(left > 0, F.substring("last", left, F.lit(1))).otherwise(""),
+        "is_first": F.col("text") == F.col("first"), "is_last": F.col("text") == F.col("last"),
+    }).drop("first", "last")
+
+
+def _copies(placed: DataFrame) -> DataFrame:
+    """(code, lid, part, spent, free): per line, codes of its copies with an edit at its places or none.
+
+    Equal copies have equal codes. An edit towards a pivot replaces, deletes or inserts a character and is
+    ``spent``; or a character is left open, which costs one edit for all lines that have the copy (``free``).
+    """
+    left = "char_length(text) - until"
+    ends = {
+        "": "text",
+        "replace": f"concat(substring(text, 1, {left} - 1), behind, substring(text, {left} + 1))",
+        "delete": f"concat(substring(text, 1, {left} - 1), substring(text, {left} + 1))",
+        "insert": f"concat(substring(text, 1, {left}), behind, substring(text, {left} + 1))",
+        "open": f"concat(substring(text, 1, {left} - 1), '\\0', substring(text, {left} + 1))",
+    }
+    starts = {
+        "": "t",
+        "replace": "concat(substring(t, 1, at), substring(ahead, 1, 1), substring(t, at + 2))",
+        "delete": "concat(substring(t, 1, at), substring(t, at + 2))",
+        "insert": "concat(substring(t, 1, at), substring(ahead, 1, 1), substring(t, at + 1))",
+        "open": "concat(substring(t, 1, at), '\\0', substring(t, at + 2))",
+    }
+
+    def copy(text: str, spent: int, start: str = "", end: str = "") -> str:
+        places = f"{'at' if start == 'open' else -1}, {'until' if end == 'open' else -1}"
+        free = (start == "open") + (end == "open")
+        return f"struct(xxhash64(grp, {places}, {text}) as code, {spent} as spent, {free} as free)"
+
+    def edited(start: str, end: str, text: str) -> str:
+        return copy(starts[start].replace("t,", f"{text},") if start else text, (start not in ("", "open")) + (end not in ("", "open")), start, end)
+
+    single = [edited("", "", "text"), *(edited(s, "", "text") for s in starts if s), *(edited("", e, ends[e]) for e in ends if e)]
+    single.append(copy("concat(substring(text, 1, at), substring(text, at + 3))", 2))
+    single.append(copy("concat(substring(text, 1, at), ahead, substring(text, at + 1))", 2))
+    double = [edited(s, e, ends[e]) for s in starts if s for e in ends if e]
+    copies = f"concat(array({', '.join(single)}), if(at + until < char_length(text), array({', '.join(double)}), array()))"
+    return placed.select("lid", "part", F.explode(F.expr(copies)).alias("c")).select("c.code", "lid", "part", "c.spent", "c.free")
+
+
+def _crowd_pairs(crowd: DataFrame, contents: DataFrame, edits: int) -> DataFrame:
+    """Pairs (a, b) that tie together the lines which share keys in ``crowd`` (key, lid, part), stand in
+    different parts and are near; other pairs may be among them."""
+    hubs = broadcast_if_small(settled(crowd.groupBy("key").agg(F.min("lid").alias("a")), "hubs"))
+    homes = components(crowd.join(hubs, "key").select("a", F.col("lid").alias("b")))
+    lines = contents.select("lid", "odd", F.col("line").alias("text"))
+    rows = homes.select(F.col("component").alias("grp"), F.col("node").alias("lid"))
+    rows = settled(rows.join(crowd.select("lid", "part").distinct(), "lid").join(lines, "lid"), "crowd")
+    few, copies = [], []
     while True:
-        pivots = settled(_pivots(rows), "pivots")
-        n = pivots.agg(F.count_if(F.col("large")).alias("large"), F.count(F.lit(1)).alias("all")).first()
+        sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("x"), F.max("part").alias("y"))
+        sizes = settled(sizes.where("x != y").select("grp", (F.col("n") > GROUP).alias("large")), "sizes")
+        n = sizes.agg(F.count_if(F.col("large")).alias("large"), F.count(F.lit(1)).alias("all")).first()
         if n["all"] > n["large"]:
-            small = rows.join(broadcast_if_small(pivots.where("not large").select("grp")), "grp", "left_semi")
-            shape = "home bigint, lid bigint, spent int, text string, at int, next string"
-            made.append(copied(settled(small.select(*names, "grp").groupBy("grp").applyInPandas(_all_rounds, shape), "left")))
+            small = broadcast_if_small(sizes.where("not large").select("grp"))
+            few.append(rows.join(small, "grp", "left_semi").select("grp", "lid", "part", "odd", F.char_length("text").alias("n")))
         if not n["large"]:
-            return made
-        left = rows.join(broadcast_if_small(pivots.where("large").drop("large")), "grp").where("text != pivot")
-        left = left.withColumn("at", leaves("text", "pivot")).withColumn("next", F.expr("substring(pivot, at + 1, 1)"))
-        left = settled(left.drop("pivot"), "left")
-        made.append(copied(left))
-        rows = left.select(*names, F.xxhash64("grp", "at", F.lit(len(made))).alias("grp"))
-
-
-def _crowd_pairs(rows: DataFrame, contents: DataFrame, edits: int) -> DataFrame:
-    """Pairs (a, b) that tie together the lines which share keys in ``rows`` (key, lid) and are near."""
-    hubs = broadcast_if_small(settled(rows.groupBy("key").agg(F.min("lid").alias("a")), "hubs"))
-    homes = components(rows.join(hubs, "key").select("a", F.col("lid").alias("b")))
-    held = homes.select(F.col("component").alias("home"), F.col("node").alias("lid"), F.lit(0).alias("spent"))
-    held = settled(held.join(contents.select("lid", F.col("line").alias("text")), "lid"), "copies")
-    for spent in range(1, edits + 1):
-        every = reduce(DataFrame.unionByName, _corrected(held), held)
-        if spent < edits:
-            every = every.groupBy("home", "lid", F.reverse("text").alias("text")).agg(F.min("spent").alias("spent"))
-            held = settled(every, "copies")
-    codes = settled(every.groupBy(F.xxhash64("text").alias("code"), "lid").agg(F.min("spent").alias("spent")), "codes")
-    ties = codes.groupBy("code").agg(F.min(F.struct("spent", "lid")).alias("hub"), F.count(F.lit(1)).alias("n"))
-    ties = broadcast_if_small(settled(ties.where("n > 1").select("code", "hub.*").toDF("code", "before", "a"), "ties"))
-    return _pairs(codes.join(ties, "code").where(F.col("spent") + F.col("before") <= edits).select("a", F.col("lid").alias("b")))
+            break
+        many = rows.join(broadcast_if_small(sizes.where("large").select("grp")), "grp", "left_semi")
+        pivots = broadcast_if_small(settled(_pivots(many), "pivots"))
+        placed = settled(_placed(rows, pivots), "placed")
+        copies.append(_copies(placed))
+        start = F.xxhash64("grp", F.lit(0), "at", F.expr("substring(text, at + 1, 1)"))
+        end = F.xxhash64("grp", F.lit(1), "until", F.expr("substring(reverse(text), until + 1, 1)"))
+        rows = placed.where("not is_first").withColumn("grp", start).unionByName(placed.where("not is_last").withColumn("grp", end))
+        rows = rows.select("grp", "lid", "part", "odd", "text")
+    found = []
+    if few:
+        few = settled(reduce(DataFrame.unionByName, few), "few")
+        i, p = few.alias("i"), few.alias("p")
+        apart = F.expr(f"i.grp = p.grp and i.lid < p.lid and i.part != p.part and abs(i.n - p.n) <= {edits}")
+        found.append(i.join(p, apart & perhaps_near(F.col("i.odd"), F.col("p.odd"), edits)).select(F.col("i.lid").alias("a"), F.col("p.lid").alias("b")))
+    if copies:
+        codes = settled(reduce(DataFrame.unionByName, copies), "codes")
+        ties = codes.groupBy("code").agg(F.min(F.struct("spent", "lid", "part")).alias("hub"), F.min("part").alias("x"), F.max("part").alias("y"))
+        ties = settled(ties.where("x != y").select("code", "hub.*").toDF("code", "before", "a", "home"), "ties")
+        near = F.expr(f"spent + before + free <= {edits} and part != home")
+        found.append(codes.join(broadcast_if_small(ties), "code").where(near).select("a", F.col("lid").alias("b")))
+    return _pairs(reduce(DataFrame.unionByName, found)) if found else _pairs(crowd.selectExpr("lid as a", "lid as b"))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -298,12 +321,12 @@ def line_groups(documents: DataFrame, edits: int = EDITS, least_chars: int = LEA
     mixed = marked.groupBy("key").agg(*sizes).where("x != y")
     open_ = marked.join(mixed.select("key", "crowded"), "key")
     open_ = settled(open_.join(contents.select("lid", "odd"), "lid"), "open")
-    few = open_.where("not crowded")
+    few = open_.where("not crowded") if edits <= COPY_EDITS else open_
     i, p = few.where("indexed").alias("i"), few.where("not indexed").alias("p")
     apart = F.expr("i.key = p.key and i.part != p.part") & perhaps_near(F.col("i.odd"), F.col("p.odd"), edits)
     far = i.join(p, apart).select(F.col("i.lid").alias("a"), F.col("p.lid").alias("b"))
-    crowd = open_.where("crowded").select("key", "lid").distinct()
-    if not crowd.isEmpty():
+    crowd = open_.where("crowded").select("key", "lid", "part").distinct()
+    if edits <= COPY_EDITS and not crowd.isEmpty():
         far = far.unionByName(_crowd_pairs(crowd, contents, edits))
     far = settled(_pairs(far).join(near, ["a", "b"], "left_anti"), "pairs")
     more = _verify(far, contents, edits)

@@ -323,3 +323,53 @@ def test_crowded_keys_give_all_groups_without_all_pairs(spark, monkeypatch, seed
     assert sorted(map(sorted, found.values())) == sorted(sorted(x) for x in expected.values() if len(x) > 1)
     pairs = [df.count() for label, df in written if label == "pairs"]
     assert len(pairs) == 2 and pairs[1] < 2 * len(lines)
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_lines_under_full_keys_meet_by_copies_without_python(spark, monkeypatch, edits):
+    from sourcelode.llm import line_dedup
+
+    pick, rows = random.Random(31 + edits), []
+    for crowd in range(120):
+        letters = "ab" if crowd % 3 else "abcé\0"
+        base, lines = "".join(pick.choices(letters, k=pick.randint(3, 9))), set()
+        for _ in range(pick.randint(4, 14)):
+            line = base
+            for _ in range(pick.randint(0, 4)):
+                at = pick.randint(0, len(line))
+                line = line[:at] + pick.choice(["", *letters]) + line[at + pick.randint(0, 1) :]
+            lines.add(line)
+        rows += [(crowd, 1000 * crowd + i, line) for i, line in enumerate(sorted(lines, key=lambda x: pick.random()))]
+    text = {lid: line for _, lid, line in rows}
+    plans = []
+
+    def spy(df, label, frees=False):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return settled(df, label, frees)
+
+    monkeypatch.setattr(line_dedup, "settled", spy)
+    monkeypatch.setattr(line_dedup, "GROUP", 1)
+    df = settled(spark.createDataFrame(rows, "key bigint, lid bigint, line string").coalesce(1), "rows")
+    contents = df.select("lid", "line").withColumn("odd", line_dedup.parities("line"))
+    pairs = line_dedup._crowd_pairs(df.selectExpr("key", "lid", "lid as part"), contents, edits).collect()
+    assert not any("Pandas" in plan or "Arrow" in plan or "Python" in plan for plan in plans)
+
+    def least(links):
+        part = {lid: lid for lid in text}
+
+        def top(x):
+            while part[x] != x:
+                part[x] = x = part[part[x]]
+            return x
+
+        for a, b in links:
+            part[top(a)] = top(b)
+        groups = {}
+        for lid in text:
+            groups.setdefault(top(lid), set()).add(lid)
+        return sorted(map(sorted, groups.values()))
+
+    assert all(distance_within(text[r["a"]], text[r["b"]], edits) for r in pairs)
+    crowds = [[lid for c, lid, _ in rows if c == crowd] for crowd in range(120)]
+    near = [(a, b) for lids in crowds for a in lids for b in lids if a < b and distance_within(text[a], text[b], edits)]
+    assert least((r["a"], r["b"]) for r in pairs) == least(near)
