@@ -46,7 +46,7 @@ from sourcelode.session import broadcast_if_small
 
 EDITS = 2
 LEAST_CHARS = 20
-#: Rows of a key that are compared pair by pair, at most.
+#: Rows of a key that are compared pair by pair, at most; an indexed line probes under the key as well and counts twice.
 CROWD = 16
 #: Lines of a group that are compared pair by pair, at most.
 GROUP = 16
@@ -78,7 +78,7 @@ def index_keys(edits: int) -> list[Column]:
 
 
 def probe_keys(edits: int) -> list[Column]:
-    """The keys of possible partners of the line's length or shorter; null where there is none.
+    """The keys of possible partners of the line's length or shorter, but its own index keys; null where there is none.
 
     A partner shorter by d has its segment i where the line has it, moved by s: i edits at most lie
     before the segment and edits - i after it, and the moves on both sides, |s| and |d - s|, cost as
@@ -90,7 +90,7 @@ def probe_keys(edits: int) -> list[Column]:
         for i in range(edits + 1):
             start, size = segment(length, i, edits)
             for move in range(-edits, edits + 1):
-                if abs(move) <= i and abs(d - move) <= edits - i:
+                if (d or move) and abs(move) <= i and abs(d - move) <= edits - i:
                     at = start + move
                     fits = (at >= 1) & (at + size - 1 <= F.col("n")) & (size >= 1)
                     keys.append(F.when(fits, _key(length, i, at, size)))
@@ -311,18 +311,19 @@ def line_groups(documents: DataFrame, edits: int = EDITS, least_chars: int = LEA
     contents = _lines(documents).select("lid", "line").join(wanted, "lid", "left_semi")
     contents = contents.groupBy("lid").agg(F.first("line").alias("line")).withColumn("odd", parities("line"))
     contents = settled(contents, "contents")
-    near = settled(_pairs(live.where(~F.col("indexed")).select(F.col("pivot").alias("a"), F.col("lid").alias("b"))), "pairs")
+    near = settled(_pairs(live.select(F.col("pivot").alias("a"), F.col("lid").alias("b"))), "pairs")
     links = _verify(near, contents, edits)
     found = components(links)
     marked = live.join(found.withColumnRenamed("node", "lid"), "lid", "left").select(
         "key", "lid", "indexed", F.coalesce("component", "lid").alias("part")
     )
-    sizes = F.min("part").alias("x"), F.max("part").alias("y"), (F.count(F.lit(1)) > CROWD).alias("crowded")
+    roles = F.sum(F.when(F.col("indexed"), 2).otherwise(1))
+    sizes = F.min("part").alias("x"), F.max("part").alias("y"), (roles > CROWD).alias("crowded")
     mixed = marked.groupBy("key").agg(*sizes).where("x != y")
     open_ = marked.join(mixed.select("key", "crowded"), "key")
     open_ = settled(open_.join(contents.select("lid", "odd"), "lid"), "open")
     few = open_.where("not crowded") if edits <= COPY_EDITS else open_
-    i, p = few.where("indexed").alias("i"), few.where("not indexed").alias("p")
+    i, p = few.where("indexed").alias("i"), few.alias("p")
     apart = F.expr("i.key = p.key and i.part != p.part") & perhaps_near(F.col("i.odd"), F.col("p.odd"), edits)
     far = i.join(p, apart).select(F.col("i.lid").alias("a"), F.col("p.lid").alias("b"))
     crowd = open_.where("crowded").select("key", "lid", "part").distinct()
@@ -367,4 +368,5 @@ def dedup_lines(
         joined = joined.withColumns({"n_lines": F.size(lines), "n_dropped": F.size(lines) - F.size(kept)})
     joined = joined.where(F.col(codes).isNull() | (F.size(kept) > 0))
     names = [*documents.columns, *(["n_lines", "n_dropped"] if counts else [])]
-    return joined.withColumn("text", F.array_join(kept, "\n")).select(*names)
+    text = F.when(F.col(codes).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return joined.withColumn("text", text).select(*names)
