@@ -22,7 +22,8 @@ left of two near lines without their common beginning and end starts and ends wi
 at each of the two places makes them equal: copies of every line with an edit at its own places, towards
 the pivots, meet by equality, and one tie to the copy's least line serves for all. Lines that leave a
 pivot at one place with one character are a group of their own in the next round, and the pivot is in
-none of these; groups of ``GROUP`` lines at most are compared pair by pair.
+none of these; groups of ``GROUP`` lines at most, which have no more pairs than copies, are compared pair
+by pair where their texts are.
 
 A line is dropped when it is not the first of its component, in the order of document and line number.
 
@@ -48,8 +49,8 @@ EDITS = 2
 LEAST_CHARS = 20
 #: Rows of a key that are compared pair by pair, at most; an indexed line probes under the key as well and counts twice.
 CROWD = 16
-#: Lines of a group that are compared pair by pair, at most.
-GROUP = 16
+#: Lines of a group that are compared pair by pair, at most; a line has 27 copies at most, so these groups have fewer pairs.
+GROUP = 54
 #: Lines of a group among which its pivots are chosen.
 CHOICE = 8
 #: Edits for which lines under fuller keys meet by copies.
@@ -163,13 +164,29 @@ def _live(postings: DataFrame) -> DataFrame:
 
 
 def parities(line: str) -> Column:
-    """Bit k says whether the characters with a code of k modulo 64 are odd in number."""
-    return F.expr(f"aggregate(split({line}, ''), 0L, (bits, c) -> bits ^ shiftleft(1L, pmod(ascii(c), 64)))")
+    """Bit k of ``chars`` says whether the characters with a code of k modulo 64 are odd in number, ``twos`` the
+    same of neighbouring characters."""
+    return F.expr(f"""
+        aggregate(
+            split({line}, ''), named_struct('last', 0, 'chars', 0L, 'twos', 0L),
+            (s, c) -> named_struct(
+                'last', ascii(c), 'chars', s.chars ^ shiftleft(1L, pmod(ascii(c), 64)),
+                'twos', s.twos ^ shiftleft(1L, pmod(37 * s.last + ascii(c), 64))
+            ),
+            s -> named_struct('chars', s.chars, 'twos', s.twos)
+        )""")
 
 
 def perhaps_near(x: Column, y: Column, edits: int) -> Column:
-    """False for lines that cannot be within ``edits`` by their parities: an edit turns two bits at most."""
-    return F.bit_count(x.bitwiseXOR(y)) <= 2 * edits
+    """False for lines that cannot be within ``edits`` by their parities: an edit turns two bits at most, and four of neighbours."""
+    chars = F.bit_count(x["chars"].bitwiseXOR(y["chars"])) <= 2 * edits
+    return chars & (F.bit_count(x["twos"].bitwiseXOR(y["twos"])) <= 4 * edits)
+
+
+def _texts(p: str, q: str) -> list[Column]:
+    """Two texts as ``longer`` and ``shorter``."""
+    first, p, q = F.char_length(p) >= F.char_length(q), F.col(p), F.col(q)
+    return [F.when(first, p).otherwise(q).alias("longer"), F.when(first, q).otherwise(p).alias("shorter")]
 
 
 def _verify(pairs: DataFrame, contents: DataFrame, edits: int) -> DataFrame:
@@ -179,11 +196,7 @@ def _verify(pairs: DataFrame, contents: DataFrame, edits: int) -> DataFrame:
     close = pairs.join(left.select("a", "odd_p"), "a").join(right.select("b", "odd_q"), "b")
     close = close.where(perhaps_near(F.col("odd_p"), F.col("odd_q"), edits)).select("a", "b")
     both = close.join(left, "a").join(right, "b")
-    first = F.char_length("p") >= F.char_length("q")
-    both = both.select(
-        "a", "b", F.when(first, F.col("p")).otherwise(F.col("q")).alias("longer"),
-        F.when(first, F.col("q")).otherwise(F.col("p")).alias("shorter"),
-    )
+    both = both.select("a", "b", *_texts("p", "q"))
     return settled(both.where(F.expr(within_edits(edits))).select("a", "b"), "links")
 
 
@@ -274,7 +287,7 @@ def _crowd_pairs(crowd: DataFrame, contents: DataFrame, edits: int) -> DataFrame
         n = sizes.agg(F.count_if(F.col("large")).alias("large"), F.count(F.lit(1)).alias("all")).first()
         if n["all"] > n["large"]:
             small = broadcast_if_small(sizes.where("not large").select("grp"))
-            few.append(rows.join(small, "grp", "left_semi").select("grp", "lid", "part", "odd", F.char_length("text").alias("n")))
+            few.append(rows.join(small, "grp", "left_semi").select("*", F.char_length("text").alias("n")))
         if not n["large"]:
             break
         many = rows.join(broadcast_if_small(sizes.where("large").select("grp")), "grp", "left_semi")
@@ -289,8 +302,12 @@ def _crowd_pairs(crowd: DataFrame, contents: DataFrame, edits: int) -> DataFrame
     if few:
         few = settled(reduce(DataFrame.unionByName, few), "few")
         i, p = few.alias("i"), few.alias("p")
-        apart = F.expr(f"i.grp = p.grp and i.lid < p.lid and i.part != p.part and abs(i.n - p.n) <= {edits}")
-        found.append(i.join(p, apart & perhaps_near(F.col("i.odd"), F.col("p.odd"), edits)).select(F.col("i.lid").alias("a"), F.col("p.lid").alias("b")))
+        apart = F.expr(f"i.lid < p.lid and i.part != p.part and abs(i.n - p.n) <= {edits}")
+        apart = apart & perhaps_near(F.col("i.odd"), F.col("p.odd"), edits)
+        both = i.join(p, F.expr("i.grp = p.grp") & apart)
+        both = both.select(F.col("i.lid").alias("a"), F.col("p.lid").alias("b"), apart.alias("perhaps"), *_texts("i.text", "p.text"))
+        # Spark may put this filter before the join's other conditions, so it has them within.
+        found.append(both.where(F.when(F.col("perhaps"), F.expr(within_edits(edits))).otherwise(False)).select("a", "b"))
     if copies:
         codes = settled(reduce(DataFrame.unionByName, copies), "codes")
         ties = codes.groupBy("code").agg(F.min(F.struct("spent", "lid", "part")).alias("hub"), F.min("part").alias("x"), F.max("part").alias("y"))

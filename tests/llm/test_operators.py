@@ -373,3 +373,39 @@ def test_lines_under_full_keys_meet_by_copies_without_python(spark, monkeypatch,
     crowds = [[lid for c, lid, _ in rows if c == crowd] for crowd in range(120)]
     near = [(a, b) for lids in crowds for a in lids for b in lids if a < b and distance_within(text[a], text[b], edits)]
     assert least((r["a"], r["b"]) for r in pairs) == least(near)
+
+
+def test_lines_are_copied_only_where_they_have_more_pairs_than_copies(spark, monkeypatch):
+    from sourcelode.llm import line_dedup
+
+    pick = random.Random(41)
+    base = "".join(pick.choices("abcdefgh ", k=60))
+    lines = set()
+    while len(lines) < 150:
+        line = base
+        for _ in range(pick.randint(1, 4)):
+            at = pick.randint(0, len(line))
+            line = line[:at] + pick.choice(["", *"abcdefgh"]) + line[at + pick.randint(0, 1) :]
+        lines.add(line)
+    rows = [(int(i >= 54), i, line) for i, line in enumerate(sorted(lines, key=lambda x: pick.random()))]
+    copies = {}
+
+    def spy(df, label, frees=False):
+        written = settled(df, label, frees)
+        if label == "codes":
+            copies[label] = written.count()
+        return written
+
+    monkeypatch.setattr(line_dedup, "settled", spy)
+    for group in (0, 1):
+        here = [(lid, line) for key, lid, line in rows if key == group]
+        df = settled(spark.createDataFrame(here, "lid bigint, line string"), "rows").selectExpr("*", "1 as key")
+        contents = df.select("lid", "line").withColumn("odd", line_dedup.parities("line"))
+        found = line_dedup._crowd_pairs(df.selectExpr("key", "lid", "lid as part"), contents, 2).collect()
+        part = {lid: lid for lid, _ in here}
+        text = dict(here)
+        for a, b in ((r["a"], r["b"]) for r in found if distance_within(text[r["a"]], text[r["b"]], 2)):
+            part = {lid: part[a] if p == part[b] else p for lid, p in part.items()}
+        assert all(part[a] == part[b] for a in text for b in text if a < b and distance_within(text[a], text[b], 2))
+        assert ("codes" in copies) == (group == 1)
+    assert copies["codes"] <= 2 * 27 * 96
