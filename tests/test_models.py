@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sourcelode.operators.models import Calls, Ledger, TryAgain, _answer, _call_ends, run_model
+from sourcelode.session import BATCH_BYTES
 
 
 def said(asked, output):
@@ -80,3 +81,14 @@ def test_run_model_keeps_other_columns(spark, counted):
     frame = spark.createDataFrame([(2**53 + 1, "a"), (None, "bad")], "id bigint, prompt string").coalesce(1)
     found = run_model(frame, model).collect()
     assert {(r["id"], r["output"], r["error"]) for r in found} == {(2**53 + 1, "A", None), (None, "BAD", "no")}
+
+
+def test_workers_are_sent_bounded_bytes_at_once(spark):
+    def model():
+        return lambda batch: pd.DataFrame({"key": batch["key"], "output": [str(len(batch))] * len(batch), "tokens": 0, "error": None})
+
+    long = spark.range(0, 200, 1, 1).selectExpr("id", "concat(id, repeat('x', 262144)) as prompt")
+    whole = Calls(rows=1 << 30, bytes=1 << 40)
+    said = run_model(long, model, calls=whole).select("id", "output", "error").collect()
+    assert sorted(r["id"] for r in said) == list(range(200)) and not any(r["error"] for r in said)
+    assert max(int(r["output"]) for r in said) * 262144 < 2 * BATCH_BYTES
