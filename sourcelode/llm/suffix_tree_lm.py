@@ -25,15 +25,17 @@ unseen and has probability 1 / 2; repeated rows count as often as they occur.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import ExitStack
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourcelode.llm.store import freeing, settled
+from sourcelode.llm.store import freeing, passing, settled
 from sourcelode.llm.text import HELD, Tally, slices, span_hashes, text_bytes, word_spans
 
 #: Occurrences of a held sequence.
@@ -43,9 +45,14 @@ LEAST_GAIN = 4.0
 #: Discount of a next word's count in a node.
 DISCOUNT = 0.5
 END = -1
-#: Bits of a bitmap at most, a power of two, and its bits per key before that.
-BITMAP = 1 << 27
-BITS_PER_KEY = 64
+#: Bits of a bitmap at most, a power of two, its bits per key before that, and where a key's second place begins.
+BITMAP = 1 << 28
+BITS_PER_KEY = 16
+SECOND = 32
+#: Tokens per bucket of a count; rows of the table per bucket of the scoring, up to and beyond ``SPREAD`` buckets.
+BUCKET = 1 << 17
+FEW_ROWS, MANY_ROWS = 1 << 14, 1 << 21
+SPREAD = 24
 #: Rows of the table that are handed to every task at most.
 HOT = 1 << 19
 #: By length: how far the context's key is turned in the key of a sequence.
@@ -94,44 +101,119 @@ def sequences(symbols: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np
 
 
 class Bitmap:
-    """A set of keys that may seem to hold more; empty ``bits`` hold nothing."""
+    """A set of keys that may seem to hold more: a key stands for two bits."""
 
     def __init__(self, bits: np.ndarray) -> None:
         self.bits, self.mask = bits, np.int64(len(bits) * 8 - 1)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & self.mask
+        found = self._is_set(keys & self.mask)
+        again = np.flatnonzero(found)
+        found[again] = self._is_set(keys[again] >> SECOND & self.mask)
+        return found
+
+    def _is_set(self, at: np.ndarray) -> np.ndarray:
         return self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
+    @classmethod
+    def of(cls, keys: np.ndarray) -> Bitmap:
+        size = bitmap_size(len(keys))
+        bits = np.zeros(size, bool)
+        bits[places(keys, size)] = True
+        return cls(np.packbits(bits, bitorder="little"))
+
+
+def bitmap_size(keys: int) -> int:
+    return max(1 << 10, min(BITMAP, 1 << (BITS_PER_KEY * keys).bit_length()))
+
+
+def places(keys: np.ndarray, size: int) -> np.ndarray:
+    """The bits of ``keys`` in a bitmap of ``size`` bits."""
+    return np.concatenate([keys & (size - 1), keys >> SECOND & (size - 1)])
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
+
+
+def dealt(number: np.ndarray, names: list[str], columns: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each ``number`` met, with the values of each column that belong to it as bytes."""
+    order = np.argsort(number.astype(np.uint16 if len(number) and number.max() < 1 << 16 else np.int64), kind="stable")
+    number = number[order]
+    first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(number) else order
+    ends = np.r_[first, len(number)]
+    arrays = [pa.array(number[first].astype(np.int32))]
+    for column in columns:
+        offsets = pa.py_buffer((ends * column.itemsize).astype(np.int32))
+        arrays.append(pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(column[order])]))
+    return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    """All values of a column of ``dealt`` rows."""
+    whole = b"".join(x.as_buffer() for x in table.column(name))
+    return np.frombuffer(whole, kind) if whole else np.zeros(0, kind)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[np.ndarray]]:
+    """The columns of ``batches``, some ``most`` rows at a time; bytes are the keys that they hold."""
+
+    def whole() -> list[np.ndarray]:
+        table = pa.Table.from_batches(held)
+        return [joined(table, f.name, np.int64) if pa.types.is_binary(f.type) else table.column(f.name).to_numpy() for f in table.schema]
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes // 8 if pa.types.is_binary(batch.schema.field(0).type) else batch.num_rows
+        if size >= most:
+            yield whole()
+            held, size = [], 0
+    if size:
+        yield whole()
+
 
 BLOCK_BITS = 1 << 20
 
 
-def bitmap(keys: DataFrame) -> Bitmap:
-    """The bitmap of ``keys`` (key). Its blocks are made apart, so the driver is sent its bits alone."""
-    size = max(1 << 10, min(BITMAP, 1 << (BITS_PER_KEY * keys.count()).bit_length()))
+def bitmap(keys: DataFrame, count: int) -> Bitmap:
+    """The bitmap of ``count`` ``keys`` (key, many of them as bytes or one). Its blocks are made apart, so the
+    driver is sent its bits alone."""
+    size = bitmap_size(count)
     block = min(size, BLOCK_BITS)
 
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        at, bits = rows["key"].to_numpy() & (block - 1), np.zeros(block, bool)
-        bits[at] = True
-        return pd.DataFrame({"block": rows["block"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (part,) in gathered(batches, HELD >> 2):
+            at = places(part, size)
+            yield dealt(at // block, ["block", "at"], [(at % block).astype(np.int32)])
 
-    number = F.shiftright(F.col("key").bitwiseAND(F.lit(size - 1)), block.bit_length() - 1)
-    parts = keys.select("key", number.alias("block")).groupBy("block").applyInPandas(fill, "block bigint, bits binary")
+    def fill(rows: pa.Table) -> pa.Table:
+        bits = np.zeros(block, bool)
+        bits[joined(rows, "at", np.int32)] = True
+        return pa.table({"block": rows.column("block")[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    parts = keys.select("key").mapInArrow(deal, "block int, at binary")
     bits = np.zeros((size // block, block // 8), np.uint8)
     with freeing(keys.sparkSession):
-        rows = parts.collect()
+        rows = parts.groupBy("block").applyInArrow(fill, "block int, bits binary").collect()
     for row in rows:
         bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
     return Bitmap(bits.reshape(-1))
 
 
+def summed(keys: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, in order, with its context and the sum of its counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else order
+    return keys[cut], contexts[order[cut]], np.add.reduceat(counts[order], cut) if len(cut) else counts
+
+
 class PairTally:
     """Counts of (context, last) of one length, passed on when many are held."""
 
-    def __init__(self, length: int) -> None:
-        self.length, self.waiting, self.size = length, [], 0
+    def __init__(self, length: int, buckets: int) -> None:
+        self.length, self.buckets, self.waiting, self.size = length, buckets, [], 0
         self.held = (np.zeros(0, np.int64),) * 3
 
     def add(self, keys: np.ndarray, contexts: np.ndarray) -> None:
@@ -141,13 +223,7 @@ class PairTally:
             self._settle()
 
     def _settle(self) -> None:
-        keys, contexts, counts = (np.concatenate(x) for x in zip(self.held, *self.waiting, strict=True))
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else order
-        self.held = (
-            keys[cut], contexts[order[cut]], np.add.reduceat(counts[order], cut) if len(cut) else counts
-        )
+        self.held = summed(*(np.concatenate(x) for x in zip(self.held, *self.waiting, strict=True)))
         self.waiting, self.size = [], 0
 
     def take(self, least: int) -> Iterator[pa.RecordBatch]:
@@ -155,26 +231,26 @@ class PairTally:
         if least <= 1 and self.waiting:
             self._settle()
         if len(self.held[0]) >= least:
-            order = np.argsort(self.held[1], kind="stable")
+            order = np.argsort(self.held[1])
             keys, contexts, counts = (x[order] for x in self.held)
             last = extend(contexts, keys, self.length)
-            for at in range(0, len(keys), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                columns = [pa.array(x[part]) for x in (contexts, last, counts)]
-                yield pa.RecordBatch.from_arrays(columns, names=["context", "last", "n"])
+            yield dealt(bucket_of(keys, self.buckets), ["bucket", "context", "last", "n"], [contexts, last, counts])
             self.held = (np.zeros(0, np.int64),) * 3
 
 
-def count_level(texts: DataFrame, length: int, shorter: Bitmap | None = None) -> DataFrame:
+def count_level(texts: DataFrame, length: int, tokens_in: int, shorter: Bitmap | None = None) -> DataFrame:
     """(context, last, n) of the sequences of ``length`` that occur ``LEAST`` times or more in ``texts``
-    (text): the keys of the sequences without the last and without the first word.
+    (text), which have ``tokens_in`` tokens: the keys of the sequences without the last and without the
+    first word.
 
-    Sequences of which one of these two is not in ``shorter`` are left out; they can't be repeated.
+    Sequences of which one of these two is not in ``shorter`` are left out; they can't be repeated. Counts
+    go by buckets of their keys, of which there are so many that each holds few rows.
     """
     known = texts.sparkSession.sparkContext.broadcast(shorter)
+    buckets = max(1, tokens_in // BUCKET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = PairTally(length)
+        tally = PairTally(length, buckets)
         for batch in slices(batches, "text"):
             symbols, doc = tokens(batch.column("text"))
             found = sequences(symbols, doc)
@@ -193,8 +269,15 @@ def count_level(texts: DataFrame, length: int, shorter: Bitmap | None = None) ->
             yield from tally.take(HELD)
         yield from tally.take(1)
 
-    parts = texts.select("text").mapInArrow(run, "context bigint, last bigint, n bigint")
-    return parts.groupBy("context", "last").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    def merge(rows: pa.Table) -> pa.Table:
+        contexts, last, counts = (joined(rows, name, np.int64) for name in ("context", "last", "n"))
+        keys, contexts, counts = summed(extend(contexts, last, length), contexts, counts)
+        kept = counts >= LEAST
+        keys, contexts, counts = keys[kept], contexts[kept], counts[kept]
+        return pa.table({"context": contexts, "last": extend(contexts, keys, length), "n": counts})
+
+    parts = texts.select("text").mapInArrow(run, "bucket int, context binary, last binary, n binary")
+    return parts.groupBy("bucket").applyInArrow(merge, "context bigint, last bigint, n bigint")
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -238,10 +321,10 @@ def grow(counts: DataFrame, suffixes: DataFrame, length: int) -> DataFrame:
     )
 
 
-def learn(texts: DataFrame, smoothing: float) -> tuple[DataFrame, dict]:
+def learn(texts: DataFrame, smoothing: float, held: ExitStack) -> tuple[DataFrame, dict]:
     """The values (key, n, score, base, known) of sequences, which add up, and the sums of the counts of
-    all tokens over ``texts`` (text)."""
-    words = settled(count_words(texts), "words", frees=True)
+    all tokens over ``texts`` (text). They can be read until ``held`` ends."""
+    words = held.enter_context(passing(count_words(texts), "words"))
     sums = words.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("types"),
         F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"),
@@ -256,14 +339,15 @@ def learn(texts: DataFrame, smoothing: float) -> tuple[DataFrame, dict]:
     )
     shorter = None
     for length in (2, 3):
-        level = grow(count_level(texts, length, shorter), level, length)
-        if length == 3:
-            level = level.where("gain is not null").drop("chance")
-        level = settled(level, "level", frees=True)
+        with passing(count_level(texts, length, sums["tokens"], shorter), "counts") as counts:
+            level = grow(counts, level, length)
+            if length == 3:
+                level = level.where("gain is not null").drop("chance")
+            level = held.enter_context(passing(level, "level"))
         own = level.where("gain is not null").select("key", "n", F.col("gain").alias("score"), zero, F.lit(0))
         rest = level.where("node is not null").select("node", "node_n", "rest", zero, F.lit(0))
         values = values.union(own).union(rest)
-        shorter = bitmap(level.select("key")) if length == 2 else None
+        shorter = bitmap(level, level.count()) if length == 2 else None
     return values, sums
 
 
@@ -274,50 +358,127 @@ class Hot(NamedTuple):
     score: np.ndarray
     base: np.ndarray
     known: np.ndarray
+    bits: Bitmap
 
 
-def hottest(values: DataFrame) -> tuple[Hot, int]:
-    """The values of keys that occur a number of times or more, and that number."""
+def hottest(values: DataFrame) -> tuple[Hot, int, int]:
+    """The values of keys that occur a number of times or more, that number, and the rows of other keys."""
     step = F.floor(F.log2("n") * 4).cast("int")
-    rows = sorted((r["step"], r["rows"]) for r in values.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect())
-    least, held = 1 << 62, 0
+    with freeing(values.sparkSession):
+        rows = values.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    rows = sorted((r["step"], r["rows"]) for r in rows)
+    least, held, others = 1 << 62, 0, sum(size for _, size in rows)
     for at, size in reversed(rows):
         held += size
         if held > HOT:
             break
-        least = int(np.ceil(2 ** (at / 4)))
-    found = values.where(F.col("n") >= least).groupBy("key").agg(F.sum("score"), F.sum("base"), F.sum("known"))
+        least, others = int(np.ceil(2 ** (at / 4))), others - size
     with freeing(values.sparkSession):
+        found = values.where(F.col("n") >= least).groupBy("key").agg(F.sum("score"), F.sum("base"), F.sum("known"))
         found = found.toPandas().sort_values("key")
-    columns = (found.iloc[:, i].to_numpy(kind) for i, kind in enumerate((np.int64, np.float64, np.float64, np.int64)))
-    return Hot(*columns), least
+    columns = [found.iloc[:, i].to_numpy(kind) for i, kind in enumerate((np.int64, np.float64, np.float64, np.int64))]
+    return Hot(*columns, Bitmap.of(columns[0])), least, others
+
+
+VALUES = {"key": np.int64, "score": np.float64, "base": np.float64, "known": np.int64}
+SENT = ["keys", "rows", "times"]
+SUMS = {
+    "row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "known": pa.int64(),
+    "base": pa.float64(), "score": pa.float64(),
+}
+SUMS_SCHEMA = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double"
+
+
+def filled(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """Rows of (bucket, ``SENT``, ``SUMS``), with nulls for the columns that are missing."""
+    kinds = {"bucket": pa.int32(), **dict.fromkeys(SENT, pa.binary()), **SUMS}
+    n = len(columns["bucket"])
+    return pa.RecordBatch.from_pydict({k: columns[k] if k in columns else pa.nulls(n, kind) for k, kind in kinds.items()})
+
+
+def deal_values(values: DataFrame, buckets: int) -> DataFrame:
+    """``values`` by bucket, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in gathered(batches, HELD >> 2):
+            columns = [c.astype(kind) for c, kind in zip(columns, VALUES.values(), strict=True)]
+            yield dealt(bucket_of(columns[0], buckets), ["bucket", *VALUES], columns)
+
+    return values.select(*VALUES).mapInArrow(run, "bucket int, key binary, score binary, base binary, known binary")
+
+
+def look(rows: pa.Table, values: pa.Table) -> pa.Table:
+    """``SUMS`` of a bucket: those of documents as they came, and those of the sequences sent."""
+    keys, *of = (joined(values, name, kind) for name, kind in VALUES.items())
+    order = np.argsort(keys)
+    keys = keys[order]
+    cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else order
+    of = [np.add.reduceat(x[order], cut) if len(cut) else x for x in of]
+    sent = rows.filter(pc.is_valid(rows.column("keys")))
+    wanted, row, times = (joined(sent, name, np.int64) for name in SENT)
+    found = find(keys[cut], wanted)
+    here = found >= 0
+    row, which = np.unique(row[here], return_inverse=True)
+    place, times = found[here], times[here]
+    points, base, known = (np.bincount(which, weights=x[place] * times, minlength=len(row)) for x in of)
+    own = {"row": row, "n_tokens": np.zeros(len(row), np.int64), "known": known.astype(np.int64), "base": base, "score": points}
+    own = {k: pa.array(own[k]).cast(kind) if k in own else pa.nulls(len(row), kind) for k, kind in SUMS.items()}
+    came = rows.filter(pc.is_null(rows.column("keys")))
+    return pa.concat_tables([pa.table({k: came.column(k) for k in SUMS}), pa.table(own)])
 
 
 def score(documents: DataFrame, held_out: Column, smoothing: float = 0.1) -> DataFrame:
     """Score all rows of ``documents`` (doc_id, text), learning from those that are not ``held_out``."""
     rows = documents.select("doc_id", "text", held_out.alias("held_out"))
-    values, sums = learn(rows.where(~F.col("held_out")), smoothing)
-    hot, least = hottest(values)
-    cold = values.where(F.col("n") < least)
-    known = documents.sparkSession.sparkContext.broadcast((hot, bitmap(cold.select("key"))))
+    with ExitStack() as held:
+        with ExitStack() as learning:
+            values, sums = learn(rows.where(~F.col("held_out")), smoothing, learning)
+            hot, least, others = hottest(values)
+            buckets = max(1, min(SPREAD, others // FEW_ROWS), others // MANY_ROWS)
+            cold = held.enter_context(passing(deal_values(values.where(F.col("n") < least), buckets), "cold"))
+        known = rows.sparkSession.sparkContext.broadcast((hot, bitmap(cold, others)))
+        return settled(look_up(rows, known, cold, buckets, sums, smoothing), "scored", frees=True)
+
+
+def look_up(
+    rows: DataFrame, known: Broadcast, cold: DataFrame, buckets: int, sums: dict, smoothing: float
+) -> DataFrame:
+    """The scores of ``rows`` (doc_id, text, held_out) by the values that are ``known``, those in ``buckets``
+    of ``cold`` and the ``sums`` of ``learn``.
+
+    A text's sequences that are not hot go to the buckets of their keys, where the values are; what a
+    bucket adds to each text comes back as sums. What is known of a text before goes through a bucket too.
+    """
     unseen = sums["discount"] * sums["types"] / sums["tokens"] if sums["tokens"] else 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, others = known.value
+        waiting: list[tuple[np.ndarray, ...]] = []
+
+        def deal() -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+            waiting.clear()
+            sent = dealt(bucket_of(columns[0], buckets), ["bucket", *SENT], columns)
+            return filled(dict(zip(sent.schema.names, sent.columns, strict=True)))
+
         for batch in slices(batches, "text"):
             symbols, doc = tokens(batch.column("text"))
             n = batch.num_rows
+            row = batch.column("row").to_numpy()
             totals = [np.zeros(n), np.zeros(n), np.zeros(n, np.int64)]
             away, owner = [], []
             for length, (at, keys) in enumerate(sequences(symbols, doc), 1):
-                found = find(hot.keys, keys)
-                here, place = doc[at[found >= 0]], found[found >= 0]
+                likely = np.flatnonzero(hot.bits.has(keys))
+                found = find(hot.keys, keys[likely])
+                likely, place = likely[found >= 0], found[found >= 0]
+                here = doc[at[likely]]
                 totals[0] += np.bincount(here, weights=hot.score[place], minlength=n)
                 if length == 1:
                     tokens_of = np.bincount(doc[at], minlength=n)
                     totals[1] += np.bincount(here, weights=hot.base[place], minlength=n)
                     totals[2] += np.bincount(here, minlength=n)
-                left = (found < 0) & others.has(keys)
+                left = others.has(keys)
+                left[likely] = False
                 away.append(keys[left])
                 owner.append(doc[at[left]])
             away, owner = np.concatenate(away), np.concatenate(owner)
@@ -325,43 +486,36 @@ def score(documents: DataFrame, held_out: Column, smoothing: float = 0.1) -> Dat
             away, owner = away[order], owner[order]
             new = np.r_[True, (away[1:] != away[:-1]) | (owner[1:] != owner[:-1])] if len(away) else np.zeros(0, bool)
             first = np.flatnonzero(new)
-            times = np.diff(np.r_[first, len(away)]).astype(np.int32)
-            cuts = np.searchsorted(owner[first], np.arange(n + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("held_out"),
-                    pa.array(tokens_of.astype(np.int64)),
-                    pa.array(totals[2]),
-                    pa.array(totals[1]),
-                    pa.array(totals[0]),
-                    pa.ListArray.from_arrays(cuts, pa.array(away[first])),
-                    pa.ListArray.from_arrays(cuts, pa.array(times)),
-                ],
-                names=["doc_id", "held_out", "n_tokens", "found", "base", "score", "keys", "times"],
+            waiting.append((away[first], row[owner[first]], np.diff(np.r_[first, len(away)])))
+            yield filled(
+                {
+                    "bucket": pa.array((row % buckets).astype(np.int32)),
+                    "row": batch.column("row"),
+                    "doc_id": batch.column("doc_id"),
+                    "held_out": batch.column("held_out"),
+                    "n_tokens": pa.array(tokens_of.astype(np.int64)),
+                    "known": pa.array(totals[2]),
+                    "base": pa.array(totals[1]),
+                    "score": pa.array(totals[0]),
+                }
             )
-
-    scored = rows.mapInArrow(
-        run,
-        "doc_id bigint, held_out boolean, n_tokens bigint, found bigint, base double, score double,"
-        " keys array<bigint>, times array<int>",
-    )
-    scored = settled(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    pairs = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("p")).select("row", "p.keys", "p.times")
-    cold = cold.select(F.col("key").alias("keys"), F.col("score").alias("part"), F.col("base").alias("base_part"), "known")
-    looked = pairs.join(cold, "keys").groupBy("row").agg(
-        F.sum(F.col("known") * F.col("times")).alias("known"),
-        F.sum(F.col("base_part") * F.col("times")).alias("base_part"),
-        F.sum(F.col("part") * F.col("times")).alias("part"),
-    )
+            if sum(len(keys) for keys, *_ in waiting) >= HELD >> 2:
+                yield deal()
+        if waiting:
+            yield deal()
+
+    sent_schema = f"bucket int, keys binary, rows binary, times binary, {SUMS_SCHEMA}"
+    sent = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, sent_schema)
+    found = sent.groupBy("bucket").cogroup(cold.groupBy("bucket")).applyInArrow(look, SUMS_SCHEMA)
+    found = found.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
+        *(F.sum(name).alias(name) for name in ("n_tokens", "known", "base", "score")),
+    )
     everything = F.lit(float(sums["tokens"] + smoothing * (sums["types"] + 1)))
-    n_known = F.col("found") + F.coalesce("known", F.lit(0))
-    zero = F.lit(0.0)
-    return scored.drop("keys", "times").join(looked, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", n_known.cast("long").alias("n_known"),
+    unknown = F.col("n_tokens") - F.col("known")
+    return found.select(
+        "doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"),
         F.lit(sums["tokens"]).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_part", zero) + (F.col("n_tokens") - n_known) * F.log10(F.lit(smoothing))
-         - F.col("n_tokens") * F.log10(everything)).alias("base_score"),
-        (F.col("score") + F.coalesce("part", zero)
-         + (F.col("n_tokens") - n_known) * F.log10(F.lit(float(unseen)))).alias("score"),
+        (F.col("base") + unknown * F.log10(F.lit(smoothing)) - F.col("n_tokens") * F.log10(everything)).alias("base_score"),
+        (F.col("score") + unknown * F.log10(F.lit(float(unseen)))).alias("score"),
     )
