@@ -54,7 +54,7 @@ BUCKET = 1 << 17
 FEW_ROWS, MANY_ROWS = 1 << 14, 1 << 21
 SPREAD = 24
 #: Rows of the table that are handed to every task at most.
-HOT = 1 << 19
+HOT = 1 << 20
 #: By length: how far the context's key is turned in the key of a sequence.
 TURN = {2: 23, 3: 9}
 
@@ -238,15 +238,14 @@ class PairTally:
             self.held = (np.zeros(0, np.int64),) * 3
 
 
-def count_level(texts: DataFrame, length: int, tokens_in: int, shorter: Bitmap | None = None) -> DataFrame:
+def count_level(texts: DataFrame, length: int, tokens_in: int, known: Broadcast | None = None) -> DataFrame:
     """(context, last, n) of the sequences of ``length`` that occur ``LEAST`` times or more in ``texts``
     (text), which have ``tokens_in`` tokens: the keys of the sequences without the last and without the
     first word.
 
-    Sequences of which one of these two is not in ``shorter`` are left out; they can't be repeated. Counts
+    Sequences of which one of these two is not in the bitmap ``known`` are left out; they can't be repeated. Counts
     go by buckets of their keys, of which there are so many that each holds few rows.
     """
-    known = texts.sparkSession.sparkContext.broadcast(shorter)
     buckets = max(1, tokens_in // BUCKET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,6 +339,8 @@ def learn(texts: DataFrame, smoothing: float, held: ExitStack) -> tuple[DataFram
     shorter = None
     for length in (2, 3):
         with passing(count_level(texts, length, sums["tokens"], shorter), "counts") as counts:
+            if shorter:
+                shorter.destroy()
             level = grow(counts, level, length)
             if length == 3:
                 level = level.where("gain is not null").drop("chance")
@@ -347,18 +348,19 @@ def learn(texts: DataFrame, smoothing: float, held: ExitStack) -> tuple[DataFram
         own = level.where("gain is not null").select("key", "n", F.col("gain").alias("score"), zero, F.lit(0))
         rest = level.where("node is not null").select("node", "node_n", "rest", zero, F.lit(0))
         values = values.union(own).union(rest)
-        shorter = bitmap(level, level.count()) if length == 2 else None
+        if length == 2:
+            shorter = texts.sparkSession.sparkContext.broadcast(bitmap(level, level.count()))
     return values, sums
 
 
 class Hot(NamedTuple):
-    """The values of the most frequent keys, which are sorted."""
+    """The values of the most frequent keys, and the base scores of the words among them; keys are sorted."""
 
     keys: np.ndarray
     score: np.ndarray
-    base: np.ndarray
-    known: np.ndarray
     bits: Bitmap
+    words: np.ndarray
+    base: np.ndarray
 
 
 def hottest(values: DataFrame) -> tuple[Hot, int, int]:
@@ -376,12 +378,14 @@ def hottest(values: DataFrame) -> tuple[Hot, int, int]:
     with freeing(values.sparkSession):
         found = values.where(F.col("n") >= least).groupBy("key").agg(F.sum("score"), F.sum("base"), F.sum("known"))
         found = found.toPandas().sort_values("key")
-    columns = [found.iloc[:, i].to_numpy(kind) for i, kind in enumerate((np.int64, np.float64, np.float64, np.int64))]
-    return Hot(*columns, Bitmap.of(columns[0])), least, others
+    keys, score = found.iloc[:, 0].to_numpy(np.int64), found.iloc[:, 1].to_numpy(np.float64)
+    words = found[found.iloc[:, 3] > 0]
+    words, base = words.iloc[:, 0].to_numpy(np.int64), words.iloc[:, 2].to_numpy(np.float64)
+    return Hot(keys, score, Bitmap.of(keys), words, base), least, others
 
 
-VALUES = {"key": np.int64, "score": np.float64, "base": np.float64, "known": np.int64}
-SENT = ["keys", "rows", "times"]
+VALUES = {"key": np.int64, "score": np.float64, "base": np.float64, "known": np.int8}
+SENT = {"keys": np.int64, "rows": np.int64, "times": np.int32}
 SUMS = {
     "row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "known": pa.int64(),
     "base": pa.float64(), "score": pa.float64(),
@@ -413,18 +417,20 @@ def look(rows: pa.Table, values: pa.Table) -> pa.Table:
     order = np.argsort(keys)
     keys = keys[order]
     cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else order
-    of = [np.add.reduceat(x[order], cut) if len(cut) else x for x in of]
-    sent = rows.filter(pc.is_valid(rows.column("keys")))
-    wanted, row, times = (joined(sent, name, np.int64) for name in SENT)
-    found = find(keys[cut], wanted)
-    here = found >= 0
-    row, which = np.unique(row[here], return_inverse=True)
-    place, times = found[here], times[here]
-    points, base, known = (np.bincount(which, weights=x[place] * times, minlength=len(row)) for x in of)
-    own = {"row": row, "n_tokens": np.zeros(len(row), np.int64), "known": known.astype(np.int64), "base": base, "score": points}
-    own = {k: pa.array(own[k]).cast(kind) if k in own else pa.nulls(len(row), kind) for k, kind in SUMS.items()}
+    keys, of = keys[cut], [np.add.reduceat(x[order], cut) if len(cut) else x for x in of]
+    parts = [pa.table({k: pa.nulls(0, kind) for k, kind in SUMS.items()})]
+    for sent in zip(*(rows.column(name) for name in SENT), strict=True):
+        if sent[0].is_valid:
+            wanted, row, times = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(sent, SENT.values(), strict=True))
+            found = find(keys, wanted)
+            here = np.flatnonzero(found >= 0)
+            row, which = np.unique(row[here], return_inverse=True)
+            place, times = found[here], times[here]
+            points, base, known = (np.bincount(which, weights=x[place] * times, minlength=len(row)) for x in of)
+            own = {"row": row, "n_tokens": np.zeros(len(row), np.int64), "known": known, "base": base, "score": points}
+            parts.append(pa.table({k: pa.array(own[k]).cast(kind) if k in own else pa.nulls(len(row), kind) for k, kind in SUMS.items()}))
     came = rows.filter(pc.is_null(rows.column("keys")))
-    return pa.concat_tables([pa.table({k: came.column(k) for k in SUMS}), pa.table(own)])
+    return pa.concat_tables([pa.table({k: came.column(k) for k in SUMS}), *parts])
 
 
 def score(documents: DataFrame, held_out: Column, smoothing: float = 0.1) -> DataFrame:
@@ -437,6 +443,7 @@ def score(documents: DataFrame, held_out: Column, smoothing: float = 0.1) -> Dat
             buckets = max(1, min(SPREAD, others // FEW_ROWS), others // MANY_ROWS)
             cold = held.enter_context(passing(deal_values(values.where(F.col("n") < least), buckets), "cold"))
         known = rows.sparkSession.sparkContext.broadcast((hot, bitmap(cold, others)))
+        held.callback(known.destroy)
         return settled(look_up(rows, known, cold, buckets, sums, smoothing), "scored", frees=True)
 
 
@@ -475,7 +482,8 @@ def look_up(
                 totals[0] += np.bincount(here, weights=hot.score[place], minlength=n)
                 if length == 1:
                     tokens_of = np.bincount(doc[at], minlength=n)
-                    totals[1] += np.bincount(here, weights=hot.base[place], minlength=n)
+                    word = find(hot.words, keys[likely])
+                    totals[1] += np.bincount(here, weights=hot.base[word], minlength=n)
                     totals[2] += np.bincount(here, minlength=n)
                 left = others.has(keys)
                 left[likely] = False
@@ -486,7 +494,7 @@ def look_up(
             away, owner = away[order], owner[order]
             new = np.r_[True, (away[1:] != away[:-1]) | (owner[1:] != owner[:-1])] if len(away) else np.zeros(0, bool)
             first = np.flatnonzero(new)
-            waiting.append((away[first], row[owner[first]], np.diff(np.r_[first, len(away)])))
+            waiting.append((away[first], row[owner[first]], np.diff(np.r_[first, len(away)]).astype(np.int32)))
             yield filled(
                 {
                     "bucket": pa.array((row % buckets).astype(np.int32)),

@@ -409,3 +409,29 @@ def test_lines_are_copied_only_where_they_have_more_pairs_than_copies(spark, mon
         assert all(part[a] == part[b] for a in text for b in text if a < b and distance_within(text[a], text[b], 2))
         assert ("codes" in copies) == (group == 1)
     assert copies["codes"] <= 2 * 27 * 96
+
+
+def test_language_model_leaves_nothing_but_its_scores_and_is_the_same_in_many_buckets(spark, monkeypatch):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from sourcelode.llm import suffix_tree_lm as lm
+    from sourcelode.session import shared_dir
+
+    pick = random.Random(4)
+    texts = [" ".join(pick.choices("abcdefghijkl", k=pick.randint(0, 30))) for _ in range(200)] + [None, ""]
+    rows = [(i % 190 if i < 199 else None, text) for i, text in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    folder = shared_dir(spark).removeprefix("file:")
+    found = []
+    for few, tokens, bits in ((1 << 14, 1 << 17, lm.BITMAP), (1, 50, 1 << 10)):
+        for name, value in (("FEW_ROWS", few), ("BUCKET", tokens), ("BITMAP", bits), ("HOT", 30)):
+            monkeypatch.setattr(lm, name, value)
+        before = set(os.listdir(folder))
+        scored = score(df, F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False)))
+        assert [name.split("-")[0] for name in set(os.listdir(folder)) - before] == ["scored"]
+        found.append(sorted(scored.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["score"])))
+    assert len(found[0]) == len(rows)
+    for one, other in zip(*found, strict=True):
+        assert one[:5] == other[:5] and one[5:] == pytest.approx(other[5:])
