@@ -376,11 +376,9 @@ def hottest(values: DataFrame) -> tuple[Hot, int, int]:
             break
         least, others = int(np.ceil(2 ** (at / 4))), others - size
     with freeing(values.sparkSession):
-        found = values.where(F.col("n") >= least).groupBy("key").agg(F.sum("score"), F.sum("base"), F.sum("known"))
-        found = found.toPandas().sort_values("key")
-    keys, score = found.iloc[:, 0].to_numpy(np.int64), found.iloc[:, 1].to_numpy(np.float64)
-    words = found[found.iloc[:, 3] > 0]
-    words, base = words.iloc[:, 0].to_numpy(np.int64), words.iloc[:, 2].to_numpy(np.float64)
+        rows = deal_values(values.where(F.col("n") >= least), 1).collect()
+    keys, (score, base, known) = merged(*(np.frombuffer(b"".join(r[name] for r in rows), kind) for name, kind in VALUES.items()))
+    words, base = keys[known > 0], base[known > 0]
     return Hot(keys, score, Bitmap.of(keys), words, base), least, others
 
 
@@ -411,13 +409,17 @@ def deal_values(values: DataFrame, buckets: int) -> DataFrame:
     return values.select(*VALUES).mapInArrow(run, "bucket int, key binary, score binary, base binary, known binary")
 
 
-def look(rows: pa.Table, values: pa.Table) -> pa.Table:
-    """``SUMS`` of a bucket: those of documents as they came, and those of the sequences sent."""
-    keys, *of = (joined(values, name, kind) for name, kind in VALUES.items())
+def merged(keys: np.ndarray, *of: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each key once, in order, with the sums of its values."""
     order = np.argsort(keys)
     keys = keys[order]
     cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else order
-    keys, of = keys[cut], [np.add.reduceat(x[order], cut) if len(cut) else x for x in of]
+    return keys[cut], [np.add.reduceat(x[order], cut) if len(cut) else x for x in of]
+
+
+def look(rows: pa.Table, values: pa.Table) -> pa.Table:
+    """``SUMS`` of a bucket: those of documents as they came, and those of the sequences sent."""
+    keys, of = merged(*(joined(values, name, kind) for name, kind in VALUES.items()))
     parts = [pa.table({k: pa.nulls(0, kind) for k, kind in SUMS.items()})]
     for sent in zip(*(rows.column(name) for name in SENT), strict=True):
         if sent[0].is_valid:
